@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sangam.llm import cross_split, format_duplicates, grouped_splits, near_duplicates, term_counts
-from sangam.session import table
+from sangam.llm import cross_split, format_duplicates, grouped_splits, mixing, near_duplicates, packing, pair_defects, term_counts, tokens
+from sangam.session import materialise, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,10 +35,40 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(table(spark, sf, "raw_records"), "english", "seq", 0.70)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p6_found)}
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    d = pair_defects.defects(table(spark, sf, "raw_records"), "english", "hinglish", "seq")
+    return d.select(F.col("id").alias("seq"), "defect")
+
+
+def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = materialise(tokens.token_sizes(table(spark, sf, "documents"), "doc_id", "text"), "tokens")
+    return packing.pack(sizes, table(spark, sf, "pack_specs"))
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers used, the fewest there could be, and the share of their room in use."""
+    per = p7_pack(spark, sf).groupBy("spec_id").agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    s = table(spark, sf, "pack_specs").select("spec_id", "capacity_tokens")
+    room = F.col("containers") * F.col("capacity_tokens")
+    return per.join(s, "spec_id").select("spec_id", "capacity_tokens", "containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("fewest"), "tokens", (F.col("tokens") / room).alias("used"))
+
+
+def _mix(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = tokens.token_sizes(table(spark, sf, "documents"), "doc_id", "text", ["source"])
+    return mixing.mix(sizes, table(spark, sf, "mix_targets"))
 
 
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(_mix(spark, sf), table(spark, sf, "mix_targets"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_pack, p7_report, p8_mix, p8_shares)}
+
 
 FOLD = r"trim(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
