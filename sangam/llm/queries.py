@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sangam.llm import cross_split, format_duplicates, grouped_splits, mixing, near_duplicates, packing, pair_defects, term_counts, tokens
+from sangam.llm import cross_split, format_duplicates, grouped_splits, mixing, near_duplicates, packing, pair_defects, pii, term_counts, tokens
 from sangam.session import materialise, table
 
 
@@ -66,8 +66,48 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(_mix(spark, sf), table(spark, sf, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    m = pii.find_mentions(table(spark, sf, "documents"), "doc_id", "text")
+    return m.select(F.col("id").alias("doc_id"), "pii_type", "start_char")
+
+
+def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redact(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "pii_types")).withColumnRenamed("id", "doc_id")
+
+
+def p1_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation records also in train, exactly or nearly, per split and source of the run."""
+    recs, runs = table(spark, sf, "prepared_records"), table(spark, sf, "pipeline_runs")
+    return cross_split.report(recs, "seq", "split", ["english", "hinglish"], runs)
+
+
+def p2_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Every term with its counts and its mark."""
+    return term_counts.marked_terms(table(spark, sf, "transformed_records"), "hinglish", "record_id").drop("n")
+
+
+def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """The split every record is dealt to, stratified by the source of its run."""
+    t, runs = table(spark, sf, "prepared_records"), table(spark, sf, "pipeline_runs").select("run_id", "source")
+    lead = grouped_splits.bundles(t, "seq", grouped_splits.clean_key("group_id"), "english")
+    label = t.select(F.col("seq").alias("id"), "run_id").join(F.broadcast(runs), "run_id", "left").select("id", F.col("source").alias("label"))
+    share = {r.split: r.target_share for r in table(spark, sf, "split_targets").collect()}
+    return grouped_splits.assign_splits(lead.join(label, "id"), share).select(F.col("id").alias("seq"), F.col("lead").alias("lead_seq"), "split")
+
+
+def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
+    """Each set of formatting copies with the number of rows it had."""
+    c = format_duplicates.collapse(table(spark, sf, "raw_records"), ["english", "hinglish"], "seq")
+    return c.select(F.col("keep").alias("keep_seq"), "copies")
+
+
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per raw record: its class of near-duplicate English texts at likeness 0.8."""
+    return near_duplicates.near_duplicate_groups(table(spark, sf, "raw_records"), "english", "seq", 0.8)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_pack, p7_report, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_terms, p3_found, p3_splits, p4_found, p5_found, p5_collapsed, p6_found, p6_groups, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_redacted)}
 
 
 FOLD = r"trim(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
