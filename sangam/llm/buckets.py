@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from sangam.llm.shingles import mix64
 
 KEYED = "key long, id long, n int, side int, w int"
-OUT = "a long, b long"
+OUT = "a long, b long, c int"
 _SCHEMA = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("side", pa.int32()), ("w", pa.int32())])
-_OUT = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32())])
 HOT = -1
 
 
@@ -50,11 +50,12 @@ def keyed_batch(key, id_, n, side, cap: int) -> pa.RecordBatch:
     )
 
 
-def _out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], schema=_OUT)
+def _out(a: np.ndarray, b: np.ndarray, c: np.ndarray | None = None) -> pa.RecordBatch:
+    c = np.ones(len(a), np.int32) if c is None else c.astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(c)], schema=_OUT)
 
 
-def _emit(key, id_, n, side, w, cap: int, ratio: float, cross: bool) -> Iterator[pa.RecordBatch]:
+def _emit(key, id_, n, side, w, cap: int, ratio: float, cross: bool, small: int) -> Iterator[pa.RecordBatch]:
     """Pairs and hot members of whole groups, given in key order."""
     if not len(key):
         return
@@ -89,11 +90,11 @@ def _emit(key, id_, n, side, w, cap: int, ratio: float, cross: bool) -> Iterator
             ok &= ((side[i] & 1) & (side[j] >> 1)) | ((side[j] & 1) & (side[i] >> 1)) == 1
         i, j = i[ok], j[ok]
         if len(i):
-            yield _out(np.minimum(id_[i], id_[j]), np.maximum(id_[i], id_[j]))
+            yield _out(np.minimum(id_[i], id_[j]), np.maximum(id_[i], id_[j]), 1 + (np.minimum(n[i], n[j]) <= small))
         d += 1
 
 
-def _reducer(cap: int, ratio: float, cross: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _reducer(cap: int, ratio: float, cross: bool, small: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         hot_key: int | None = None
@@ -104,7 +105,7 @@ def _reducer(cap: int, ratio: float, cross: bool) -> Callable[[Iterator[pa.Recor
             if not len(cols[0]):
                 continue
             cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last group may go on
-            yield from _emit(*[c[:cut] for c in cols], cap, ratio, cross)
+            yield from _emit(*[c[:cut] for c in cols], cap, ratio, cross, small)
             rest = [c[cut:] for c in cols]
             if rest[4].sum() > cap or hot_key == rest[0][0]:  # hot for sure: let its members go, keep a marker
                 members = (rest[4] == 1) | (rest[4] == 0)
@@ -113,16 +114,16 @@ def _reducer(cap: int, ratio: float, cross: bool) -> Callable[[Iterator[pa.Recor
                 hot_key = int(rest[0][0])
                 rest = [rest[0][:1], np.zeros(1, np.int64), np.zeros(1, np.int32), np.zeros(1, np.int32), np.full(1, cap + 1, np.int32)]
         if rest is not None:
-            yield from _emit(*rest, cap, ratio, cross)
+            yield from _emit(*rest, cap, ratio, cross, small)
 
     return run
 
 
-def bucket_pairs(keyed: DataFrame, cap: int, ratio: float, cross: bool = False) -> DataFrame:
-    """(a, b) with a < b for each shared key; (id, -1) for each membership of a hot key.
+def bucket_pairs(keyed: DataFrame, cap: int, ratio: float, cross: bool = False, small: int = 0) -> DataFrame:
+    """(a, b, c) with a < b for each shared key; (id, -1, c) for each membership of a hot key.
 
     ``ratio``: least quotient of the two ``n`` a pair may have.  ``cross``: only pairs of
-    which one is in train and the other in evaluation (bits 1 and 2 of ``side``).
+    which one is in train and the other in evaluation (bits 1 and 2 of ``side``).  ``c``
+    is 1, and 2 where the smaller ``n`` is at most ``small``.
     """
-    # range() of a hash keeps the number of partitions what the session asks for
-    return keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_reducer(cap, ratio, cross), OUT)
+    return keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_reducer(cap, ratio, cross, small), OUT)

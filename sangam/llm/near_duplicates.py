@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sangam.functions.text import folded
 from sangam.llm.buckets import HOT, KEYED, bucket_pairs, keyed_batch
 from sangam.llm.components import components
-from sangam.llm.shingles import MinHasher, gram_set, likeness
+from sangam.llm.shingles import Checker, MinHasher, gram_set
 from sangam.session import materialise
 
 BUCKET_CAP = 64
@@ -89,10 +89,11 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, k: int = 4) ->
     """Candidate pairs (a, b) whose full n-gram sets have the likeness asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        check = Checker(threshold, k)
         for batch in batches:
             a, b, x, y = (c.to_pylist() for c in batch.columns)
-            s = np.array([likeness(p, q, k) for p, q in zip(x, y)], dtype=np.float64)
-            ok = s >= threshold - 1e-9
+            s = np.array([check(p, q) for p, q in zip(x, y)], dtype=np.float64)
+            ok = s > 0
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[ok]), pa.array(np.array(b, np.int64)[ok]), pa.array(s[ok])], names=["a", "b", "likeness"])
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
@@ -108,9 +109,10 @@ def similar_pairs(texts: DataFrame, threshold: float = 0.7, rows: int = 6, recal
     band buckets above ``cap`` are compared by :func:`prefix_pairs`, so none is dropped.
     """
     texts = texts.where(F.length("text") >= k)
-    out = materialise(bucket_pairs(band_keys(texts, MinHasher(threshold, rows, recall, k), cap), cap, threshold), "bands")
-    pairs = out.where(F.col("b") != HOT).distinct()
-    hot = out.where(F.col("b") == HOT).select(F.col("a").alias("id")).distinct()
+    out = bucket_pairs(band_keys(texts, MinHasher(threshold, rows, recall, k), cap), cap, threshold)
+    out = materialise(out.select("a", "b").distinct(), "bands")
+    pairs = out.where(F.col("b") != HOT)
+    hot = out.where(F.col("b") == HOT).select(F.col("a").alias("id"))
     if not hot.isEmpty():
         pairs = pairs.unionByName(prefix_pairs(texts.join(hot, "id", "left_semi"), threshold, k)).distinct()
     return verify(pairs, texts, threshold, k)

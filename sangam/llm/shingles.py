@@ -39,6 +39,33 @@ def likeness(a: str, b: str, k: int = 4) -> float:
     return both / either if either else 0.0
 
 
+class Checker:
+    """Likeness of many pairs, given up early where it can't reach the threshold.
+
+    The second text's n-grams are kept while it stays the same.  Every other n-gram of
+    the first is looked up before all are: at likeness t, of nx and ny n-grams at most
+    (nx - t ny) / (1 + t) of the first text's are missing from the second, so more
+    misses than that decide the pair.
+    """
+
+    def __init__(self, threshold: float, k: int = 4):
+        self.t, self.k, self.last, self.grams = threshold, k, None, set()
+
+    def __call__(self, x: str, y: str) -> float:
+        """The likeness, or 0.0 if below the threshold."""
+        if y != self.last:
+            self.last, self.grams = y, gram_set(y, self.k)
+        k, n = self.k, len(x) - self.k + 1
+        most = (n - self.t * len(self.grams)) / (1 + self.t) + 1e-6
+        if len({x[i : i + k] for i in range(0, n, 2)} - self.grams) > most:
+            return 0.0
+        g = gram_set(x, k)
+        both = len(g & self.grams)
+        either = len(g) + len(self.grams) - both
+        v = both / either if either else 0.0
+        return v if v >= self.t - 1e-9 else 0.0
+
+
 def bands_for(threshold: float, rows: int, recall: float) -> int:
     """The fewest bands that find a pair exactly at the threshold with probability ``recall``."""
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
