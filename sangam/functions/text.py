@@ -7,6 +7,8 @@ Java's own ``\\w`` differs from it on combining marks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once: an expression used inside a lambda is else evaluated per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalise(x: Column | str) -> Column:
     """Collapse white space and trim; the input is taken to be NFC already."""
     return F.trim(F.regexp_replace(F.coalesce(_c(x), F.lit("")), SPACE, " "))

@@ -1,9 +1,24 @@
 """All core queries and their SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from sangam.plans import corpus
 
-def oracle_sql() -> dict:
-    return {}
+
+def _all() -> list:
+    try:
+        from sangam.plans import reports
+
+        return [corpus, reports]
+    except ImportError:
+        return [corpus]
+
+
+def queries() -> dict[str, Callable]:
+    return {k: v for m in _all() for k, v in m.Q.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in _all() for k, v in m.SQL.items()}
