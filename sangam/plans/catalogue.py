@@ -4,21 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sangam.plans import corpus
+from sangam.plans import corpus, reports
 
-
-def _all() -> list:
-    try:
-        from sangam.plans import reports
-
-        return [corpus, reports]
-    except ImportError:
-        return [corpus]
+MODULES = (corpus, reports)
 
 
 def queries() -> dict[str, Callable]:
-    return {k: v for m in _all() for k, v in m.Q.items()}
+    return {k: v for m in MODULES for k, v in m.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in _all() for k, v in m.SQL.items()}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
