@@ -288,3 +288,62 @@ def romanised(s, d):
 def critical_path(s, d):
     """Earliest finish of a fixed small network."""
     return s.sql("WITH RECURSIVE net(task, need, days) AS (VALUES ('ingest', NULL, 2), ('clean', 'ingest', 3), ('split', 'clean', 2), ('gate', 'split', 1), ('eda', 'clean', 4), ('report', 'eda', 2), ('report', 'gate', 2)), f(task, finish) AS (SELECT task, days FROM net WHERE need IS NULL UNION ALL SELECT net.task, f.finish + net.days FROM net JOIN f ON net.need = f.task) SELECT task, max(finish) AS finish FROM f GROUP BY task")
+
+
+@query("WITH " + _S_EM + ", w AS (SELECT seq, e, unnest(h) AS h, unnest(range(1, len(h) + 1)) AS j FROM p), x AS (SELECT seq, j, h, unnest(list_prepend('', e)) AS e, unnest(range(0, len(e) + 1)) AS i FROM w), b AS (SELECT seq, j, i, row_number() OVER (PARTITION BY seq, j ORDER BY floor(t.p * 1000003 + 0.37) DESC, i) AS n FROM x JOIN t USING (h, e)), "
+       "l AS (SELECT seq, j, i FROM b WHERE n = 1), d AS (SELECT seq, i, lag(i) OVER (PARTITION BY seq ORDER BY j) AS before FROM l WHERE i > 0), k AS (SELECT seq, count(*) AS linked, 1 + count(*) FILTER (WHERE i < before) AS blocks FROM d GROUP BY seq) "
+       "SELECT seq, count(*) AS words, coalesce(any_value(linked), 0) AS linked, coalesce(any_value(blocks), 0) AS blocks FROM l LEFT JOIN k USING (seq) GROUP BY seq")
+def link_blocks(s, d):
+    """Best link of every word (no source wins ties, then the first), cut where links go back."""
+    p = _pairs(s, d)
+    w = p.select("seq", "e", F.posexplode("h").alias("j", "h"))
+    x = w.select("seq", "j", "h", F.posexplode(F.concat(F.array(F.lit("")), "e")).alias("i", "e"))
+    t = _em1(s, d).select("h", "e", F.floor(F.col("p") * 1000003 + 0.37).alias("p"))  # equal up to summation order
+    best = x.join(t, ["h", "e"]).groupBy("seq", "j").agg((-F.max(F.struct("p", (-F.col("i")).alias("m")))["m"]).alias("i"))
+    g = best.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("j", "i"))).alias("l"))
+
+    def count(v):
+        drops = F.filter(F.transform(v, lambda a, k: F.when((k > 0) & (a["i"] < F.get(v, F.greatest(k - 1, F.lit(0)))["i"]), 1).otherwise(0)), lambda z: z == 1)
+        n = F.size(v)
+        return F.struct(n.cast("long").alias("linked"), F.when(n > 0, F.size(drops) + 1).otherwise(0).cast("long").alias("blocks"))
+
+    y = g.select("seq", F.size("l").cast("long").alias("words"), T.let(F.filter("l", lambda a: a["i"] > 0), count).alias("x"))
+    return y.select("seq", "words", "x.linked", "x.blocks")
+
+
+@query("WITH k AS (SELECT DISTINCT md5(" + S_KEY.format("english") + ") AS k FROM prepared_records), c AS (SELECT k FROM k ORDER BY sha256('7|' || k) LIMIT 50), x AS (SELECT k, system FROM c CROSS JOIN (VALUES ('a'), ('b'), ('c')) v(system)) SELECT printf('E%03d', row_number() OVER (ORDER BY sha256(k || '|' || system))) AS row_id, k AS source_md5, system FROM x")
+def blind_sheet(s, d):
+    """A sample of 50 sources under each of three systems, in blind order."""
+    k = _prep(s, d).select(F.md5(T.dedup_key("english")).alias("k")).distinct().orderBy(F.sha2(F.concat(F.lit("7|"), "k"), 256)).limit(50)
+    x = k.crossJoin(F.broadcast(s.createDataFrame([("a",), ("b",), ("c",)], "system string")))
+    n = F.row_number().over(W.orderBy(F.sha2(F.concat_ws("|", "k", "system"), 256)))  # 150 rows
+    return x.select(F.format_string("E%03d", n).alias("row_id"), F.col("k").alias("source_md5"), "system")
+
+
+@query("WITH o AS (SELECT source, run_id, elapsed_seconds AS v, lag(elapsed_seconds) OVER (PARTITION BY source ORDER BY generated_at, run_id) AS b, row_number() OVER (PARTITION BY source ORDER BY generated_at DESC, run_id DESC) AS n FROM pipeline_runs) SELECT source, coalesce(bool_and(v > b) FILTER (WHERE n <= 2), false) AND count(*) > 2 AS rising, min(v) AS best FROM o GROUP BY source")
+def curve_verdicts(s, d):
+    """Strict rise over the last steps and the best value; a few runs per source."""
+    w = W.partitionBy("source").orderBy("generated_at", "run_id")
+    last = W.partitionBy("source").orderBy(F.desc("generated_at"), F.desc("run_id"))
+    o = _runs(s, d).select("source", F.col("elapsed_seconds").alias("v"), F.lag("elapsed_seconds").over(w).alias("b"), F.row_number().over(last).alias("n"))
+    up = F.coalesce(F.bool_and(F.when(F.col("n") <= 2, F.col("v") > F.col("b"))), F.lit(False))
+    return o.groupBy("source").agg((up & (F.count("*") > 2)).alias("rising"), F.min("v").alias("best"))
+
+
+@query("WITH c AS (SELECT run_id, gate_passed, unnest(list_distinct(string_split(upper(source), '_'))) AS code FROM pipeline_runs) SELECT code, count(*) AS rows, count(*)::DOUBLE / (SELECT count(*) FROM pipeline_runs) AS rate, avg(gate_passed)::DOUBLE AS acceptable FROM c WHERE code IN ('PAIRS', 'CHAT', 'FORUM', 'HELPDESK', 'SUBTITLE', 'HINGE', 'LIKE', 'SYNTHETIC') GROUP BY code")
+def code_rates(s, d):
+    """Parsed codes of a closed set and their rates."""
+    known = ["PAIRS", "CHAT", "FORUM", "HELPDESK", "SUBTITLE", "HINGE", "LIKE", "SYNTHETIC"]
+    codes = F.array_intersect(F.array_distinct(F.split(F.upper("source"), "_")), F.array(*[F.lit(k) for k in known]))
+    n = _runs(s, d).agg(F.count("*").alias("all"))
+    c = _runs(s, d).select("gate_passed", F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("rows"), F.avg("gate_passed").alias("acceptable"))
+    return c.crossJoin(F.broadcast(n)).select("code", "rows", (F.col("rows") / F.col("all")).alias("rate"), "acceptable")
+
+
+@query("WITH s AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS pos FROM documents), b AS (SELECT *, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sid FROM s), t AS (SELECT doc_id, sid, count(*) AS n FROM b WHERE trim(line) <> '' GROUP BY ALL) SELECT doc_id, count(*) AS passages, max(n) AS longest FROM t GROUP BY doc_id")
+def passages(s, d):
+    """Lines between blank lines, counted within the row."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.when(F.trim(x) == "", "b").otherwise("x"))
+    runs = F.regexp_extract_all(F.array_join(lines, ""), F.lit("x+"), F.lit(0))
+    x = table(s, d, "documents").select("doc_id", runs.alias("r")).where(F.size("r") > 0)
+    return x.select("doc_id", F.size("r").cast("long").alias("passages"), F.array_max(F.transform("r", F.length)).cast("long").alias("longest"))
