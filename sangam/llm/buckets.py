@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from sangam.llm.shingles import mix64
 
-KEYED = "key long, id long, n int, side int, w int"
+KEYED = "key long, id long, m long"  # m packs n, side and what the row is: 0 a hot member, 1 a member, 2 a marker
 OUT = "a long, b long, c int"
-_SCHEMA = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("side", pa.int32()), ("w", pa.int32())])
+_SCHEMA = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("m", pa.int64())])
 _OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32())])
 HOT = -1
 
@@ -35,16 +35,14 @@ def keyed_batch(key, id_, n, side, cap: int) -> pa.RecordBatch:
     size = np.diff(np.append(first, len(key)))
     hot = np.repeat(size > cap, size)
     mark = first[size > cap]
-    # Hot members travel under a key of their own id; weight 0 tells the reducer so.
+    # Hot members travel under a key of their own id.
     away = mix64(id_[hot].astype(np.uint64)).view(np.int64)
-    zeros = np.zeros(len(mark), np.int64)
+    m = (n.astype(np.int64) << 4) | (side.astype(np.int64) << 2)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate((key[~hot], key[mark], away))),
-            pa.array(np.concatenate((id_[~hot], zeros, id_[hot]))),
-            pa.array(np.concatenate((n[~hot], zeros, n[hot])).astype(np.int32)),
-            pa.array(np.concatenate((side[~hot], zeros, side[hot])).astype(np.int32)),
-            pa.array(np.concatenate((np.ones((~hot).sum()), np.full(len(mark), cap + 1), np.zeros(hot.sum()))).astype(np.int32)),
+            pa.array(np.concatenate((id_[~hot], np.zeros(len(mark), np.int64), id_[hot]))),
+            pa.array(np.concatenate((m[~hot] | 1, np.full(len(mark), 2, np.int64), m[hot]))),
         ],
         schema=_SCHEMA,
     )
@@ -99,7 +97,8 @@ def _reducer(cap: int, ratio: float, cross: bool, small: int) -> Callable[[Itera
         rest: list[np.ndarray] | None = None
         hot_key: int | None = None
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            key, id_, m = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cols = [key, id_, m >> 4, (m >> 2) & 3, np.where(m & 3 == 2, cap + 1, m & 3)]
             if rest is not None:
                 cols = [np.concatenate(p) for p in zip(rest, cols)]
             if not len(cols[0]):
@@ -112,7 +111,7 @@ def _reducer(cap: int, ratio: float, cross: bool, small: int) -> Callable[[Itera
                 if members.any():
                     yield _out(rest[1][members], np.full(members.sum(), HOT))
                 hot_key = int(rest[0][0])
-                rest = [rest[0][:1], np.zeros(1, np.int64), np.zeros(1, np.int32), np.zeros(1, np.int32), np.full(1, cap + 1, np.int32)]
+                rest = [rest[0][:1], *(np.zeros(1, np.int64) for _ in range(3)), np.full(1, cap + 1)]
         if rest is not None:
             yield from _emit(*rest, cap, ratio, cross, small)
 
