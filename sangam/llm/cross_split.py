@@ -96,20 +96,18 @@ def text_pairs(texts: DataFrame, threshold: float = 0.7, fields: int = 1, k: int
     """(a, b): ids of alike texts (id, text, side), one in train (bit 1), one in evaluation (bit 2).
 
     Fingerprints up to ``cap`` texts share are joined; pairs sharing two (one, where the
-    smaller text has few) are checked by likeness.  A text of which a third or more of the fingerprints
-    are hotter than that is mostly boilerplate: such texts are compared by MinHash bands
-    instead, and what is still hot there by exact prefix filtering, so no text is left out.
+    smaller text has few) are checked by likeness.  A pair that shares a hotter fingerprint
+    has it in both texts, so all texts with any are compared with one another by MinHash
+    bands too, and what is still hot there by exact prefix filtering: no pair is left out
+    for being boilerplate.
     Only texts of one field, the remainder of the id by ``fields``, are compared.
     """
     texts = texts.where(F.length("text") >= 4)
-    n = F.length("text")
     out = bucket_pairs(_fingerprints(texts, threshold, k, w, cap), cap, threshold, cross=True, small=3 * SHORT)
     own = (F.col("b") == HOT) | (F.col("a") % fields == F.col("b") % fields)
     out = materialise(out.where(own).groupBy("a", "b").agg(F.sum("c").alias("c")).where((F.col("c") >= 2) | (F.col("b") == HOT)), "seeds")
-    hot = out.where(F.col("b") == HOT).select(F.col("a").alias("id"), F.col("c").alias("hot"))
-    expected = F.greatest((n - k + 1) * 2 / (w + 1), F.lit(1.0))
-    dull = hot.join(texts, "id").where((F.col("hot") >= expected / 3) | (n < SHORT)).select("id", "text", "side")
-    dull = materialise(dull, "boilerplate")
+    hot = out.where(F.col("b") == HOT).select(F.col("a").alias("id"))  # one row per id after the sum
+    dull = materialise(texts.join(hot, "id", "left_semi").select("id", "text", "side"), "boilerplate")
     cand = out.where(F.col("b") != HOT).select("a", "b")
     if not dull.isEmpty():
         again = bucket_pairs(band_keys(dull, MinHasher(threshold), cap, "side"), cap, threshold, cross=True)
@@ -117,11 +115,13 @@ def text_pairs(texts: DataFrame, threshold: float = 0.7, fields: int = 1, k: int
         still = again.where(F.col("b") == HOT).select(F.col("a").alias("id"))
         more = again.where(F.col("b") != HOT)
         if not still.isEmpty():
-            more = more.unionByName(prefix_pairs(dull.join(still, "id", "left_semi"), threshold))
+            few = materialise(dull.join(still, "id", "left_semi"), "hot")  # written, or n-grams are made of all texts before the join
+            more = more.unionByName(prefix_pairs(few, threshold))
         cand = cand.unionByName(more.where(F.col("a") % fields == F.col("b") % fields)).distinct()
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("side").alias("sa"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("side").alias("sb"))
-    both = cand.join(left, "a").join(right, "b")
+    across = (F.col("sa").bitwiseAND(1) * F.col("sb").bitwiseAND(2) + F.col("sa").bitwiseAND(2) * F.col("sb").bitwiseAND(1)) > 0  # prefixes pair within a side too
+    both = cand.join(left, "a").join(right, "b").where(across)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check = Checker(threshold)
