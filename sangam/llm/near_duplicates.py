@@ -13,6 +13,7 @@ from sangam.functions.text import folded
 from sangam.llm.buckets import HOT, KEYED, bucket_pairs, keyed_batch
 from sangam.llm.components import components
 from sangam.llm.shingles import Checker, MinHasher, gram_set
+from sangam.operators import neardup
 from sangam.session import materialise
 
 BUCKET_CAP = 64
@@ -63,26 +64,13 @@ def _block(parts: list, cap: int) -> pa.RecordBatch:
 
 
 def prefix_pairs(texts: DataFrame, threshold: float, k: int = 4) -> DataFrame:
-    """Exact candidates among the texts of oversized buckets, by prefix filtering.
-
-    A pair at or above the threshold shares one of the rarest ``n - ceil(t n) + 1``
-    n-grams of each side, rarity counted over these texts; common boilerplate falls out
-    of every prefix.  The join runs on the n-gram and is split by AQE where skewed.
-    """
+    """Exact candidates among the texts of oversized buckets, by prefix filtering of their n-grams."""
 
     @F.udf("array<string>")
     def grams(t: str) -> list[str]:
         return sorted(gram_set(t, k))
 
-    g = texts.select("id", grams("text").alias("g")).withColumn("n", F.size("g"))
-    flat = g.select("id", "n", F.explode("g").alias("gram"))
-    df = flat.groupBy("gram").agg(F.count("*").alias("df"))
-    per = flat.join(df, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("s"))
-    keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    pre = per.select("id", "n", F.explode(F.slice("s", F.lit(1), keep)).alias("x")).select("id", "n", F.col("x.gram").alias("gram"))
-    o = pre.select(F.col("id").alias("b"), F.col("n").alias("nb"), "gram")
-    fits = F.least("n", "nb") >= F.greatest("n", "nb") * F.lit(threshold) - 1e-9
-    return pre.join(o, "gram").where((F.col("id") < F.col("b")) & fits).select(F.col("id").alias("a"), "b").distinct()
+    return neardup.prefix_pairs(texts.select("id", grams("text").alias("g")), threshold)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float, k: int = 4) -> DataFrame:

@@ -46,22 +46,42 @@ def band_rows(keys: DataFrame, bands: int = 40, rows: int = 6, k: int = 4, seed:
     return keys.select(F.col("id").cast("long"), "key").mapInArrow(run, "id long, band long")
 
 
-def near_pairs(keys: DataFrame, threshold: float = 0.7) -> DataFrame:
+def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: exact candidates among sets (id, g) of distinct n-grams, by prefix filtering.
+
+    A pair at or above the threshold shares one of the rarest ``n - ceil(t n) + 1``
+    n-grams of each side, rarity counted over these sets; common boilerplate falls out
+    of every prefix.  The join runs on the n-gram and is split by AQE where skewed.
+    """
+    flat = sets.withColumn("n", F.size("g")).select("id", "n", F.explode("g").alias("gram"))
+    df = flat.groupBy("gram").agg(F.count("*").alias("df"))
+    per = flat.join(df, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("s"))
+    keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
+    pre = per.select("id", "n", F.explode(F.slice("s", F.lit(1), keep)).alias("x")).select("id", "n", F.col("x.gram").alias("gram"))
+    o = pre.select(F.col("id").alias("b"), F.col("n").alias("nb"), "gram")
+    fits = F.least("n", "nb") >= F.greatest("n", "nb") * F.lit(threshold) - 1e-9
+    return pre.join(o, "gram").where((F.col("id") < F.col("b")) & fits).select(F.col("id").alias("a"), "b").distinct()
+
+
+def near_pairs(keys: DataFrame, threshold: float = 0.7, across: bool = False) -> DataFrame:
     """(a, b, jaccard), a < b, of distinct keys (id, key) at or above the threshold.
 
-    Members of a bucket are linked to its smallest and to their neighbour in id order, and
-    pairs are verified on full shingle sets, so near pairs come from shared buckets without
-    listing all pairs of a bucket where it is large; up to 32 members all pairs are tried.
-    Empty keys join nothing.
+    All pairs of a bucket of up to 32 members are tried; the members of larger ones are
+    compared by :func:`prefix_pairs`, so none is dropped.  Pairs are verified on full
+    shingle sets.  Empty keys join nothing.  ``across``: only pairs that differ in ``side``.
     """
     rows = materialise(band_rows(keys), "bands")
-    hot = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("m")).where("n > 1")
+    hot = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     small = rows.join(hot.where("n <= 32").select("band"), "band")
-    pairs = small.alias("x").join(small.alias("y"), "band").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    star = rows.join(hot.where("n > 32").select("band", "m"), "band").where("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b"))
-    cand = pairs.unionAll(star).distinct()
-    sets = keys.select("id", T.shingles(F.col("key")).alias("s"))
-    both = cand.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    cand = small.alias("x").join(small.alias("y"), "band").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    many = materialise(rows.join(hot.where("n > 32").select("band"), "band").select("id").distinct(), "hot")
+    sets = keys.select("id", T.shingles(F.col("key")).alias("s"), F.col("side") if across else F.lit(0).alias("side"))
+    if not many.isEmpty():
+        few = materialise(sets.join(many, "id", "left_semi").select("id", F.col("s").alias("g")), "sets")
+        cand = cand.unionAll(prefix_pairs(few, threshold))
+    both = cand.distinct().join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("side").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("side").alias("y")), "b")
+    if across:
+        both = both.where("x <> y")
     inter = F.size(F.array_intersect("sa", "sb"))
     j = inter / (F.size("sa") + F.size("sb") - inter)
     return both.select("a", "b", j.alias("jaccard")).where(F.col("jaccard") >= threshold)

@@ -53,6 +53,20 @@ def test_near_pairs_against_brute_force(spark):
         neardup.check_degenerate(40, 100)
 
 
+def test_near_pairs_of_a_template(spark):
+    rng = random.Random(3)
+    word = lambda n=6: "".join(rng.choice("abcdefgh") for _ in range(n))
+    base = [word() for _ in range(30)]
+    texts = [" ".join(base[:i] + [word(), word(), word()] + base[i + 3 :]) for i in (rng.randrange(27) for _ in range(150))]
+    df = spark.createDataFrame(list(enumerate(dict.fromkeys(texts))), "id long, key string")
+    sets = {r.id: {r.key[i : i + 4] for i in range(len(r.key) - 3)} for r in df.collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7}
+    got = {(r.a, r.b) for r in neardup.near_pairs(df).collect()}
+    rows = neardup.band_rows(df).groupBy("band").count()
+    assert rows.agg(F.max("count")).first()[0] > 32 and len(want) > 300
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_metrics(spark):
     a, b = "wo nahi aaya".split(), "wo nahin aaya".split()
     assert metrics.edit_distance(a, b) == 1 and metrics.lcs(a, b) == 2
