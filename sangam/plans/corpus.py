@@ -279,7 +279,7 @@ def split_overlap_shares(s, d):
 @query("WITH " + S_PREP + ", p AS (SELECT split, " + S_KEY.format("english") + " AS e, " + S_KEY.format("hinglish") + " AS h FROM prep), r AS (SELECT " + S_KEY.format("english") + " AS e, " + S_KEY.format("hinglish") + " AS h FROM raw_records) "
        "SELECT s.split, (SELECT count(*) FROM r WHERE e IN (SELECT e FROM p WHERE p.split = s.split)) AS english_hits, (SELECT count(*) FROM r WHERE h IN (SELECT h FROM p WHERE p.split = s.split)) AS hinglish_hits FROM (SELECT DISTINCT split FROM p) s")
 def contamination_scan(s, d):
-    """Rows of the outside corpus whose either side stands in each split."""
+    """Rows of the outside corpus whose either side stands in each split; the exact part of J6."""
     out = None
     for side, col in (("english", "english_hits"), ("hinglish", "hinglish_hits")):
         p = _prep(s, d).select("split", F.md5(T.dedup_key(side)).alias("k")).distinct()
@@ -291,11 +291,29 @@ def contamination_scan(s, d):
 
 @query("WITH " + S_PREP + ", p AS (SELECT " + S_KEY.format("english") + " AS e FROM prep WHERE split IN ('dev', 'test')) SELECT seq FROM raw_records WHERE " + S_KEY.format("english") + " NOT IN (SELECT e FROM p)")
 def contamination_clean(s, d):
-    """Rows left when protected sources are taken out."""
+    """U4: rows left when protected sources are taken out by English key, the exact part of F9 and G7."""
     p = _prep(s, d).where(F.col("split").isin("dev", "test")).select(F.md5(T.dedup_key("english")).alias("k")).distinct()
     return _raw(s, d).select("seq", F.md5(T.dedup_key("english")).alias("k")).join(p, "k", "left_anti").select("seq")
 
 
+def _contamination(s, d):
+    c = _raw(s, d).select(F.col("seq").alias("id"), "english", F.col("hinglish").alias("other"))
+    return neardup.contamination(c, _prep(s, d).select(F.col("seq").alias("id"), "split", "english", F.col("hinglish").alias("other")))
+
+
+@query()
+def contamination_hits(s, d):
+    """Rows meeting each split by English key, by the other side, and else nearly."""
+    return _contamination(s, d).groupBy("kind", "split").agg(F.count("*").alias("rows"))
+
+
+@query()
+def contamination_kept(s, d):
+    """Rows left when all that meet dev or test, in any of the three ways, are taken out."""
+    bad = _contamination(s, d).where(F.col("split").isin("dev", "test")).select(F.col("id").alias("seq")).distinct()
+    return _raw(s, d).select("seq").join(bad, "seq", "left_anti")
+
+
 def _keys(s, d):
     k = _prep(s, d).select("seq", T.dedup_key("english").alias("key")).groupBy("key").agg(F.min("seq").alias("id"))
     return materialise(k.select("id", "key"), "keys")

@@ -67,6 +67,17 @@ def test_near_pairs_of_a_template(spark):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_contamination_by_key_other_side_and_nearness(spark):
+    long = "the red lamp stands on the old table near the window"
+    splits = [(1, "train", "a train row of its own here", "train wala"), (2, "test", long, "lal lamp"), (3, "dev", "second protected row", " ")]
+    rows = [(1, long.upper() + "!", "x"), (2, "nothing alike", "LAL lamp!"), (3, long + " now", "y"), (4, "a train row of its own here", "z"), (5, "free", ""), (6, long + " today", "train wala")]
+    c = spark.createDataFrame(rows, "id long, english string, other string")
+    p = spark.createDataFrame(splits, "id long, split string, english string, other string")
+    got = {tuple(r) for r in neardup.contamination(c, p).collect()}
+    # row 6 meets train by its other side, so it is not looked at for nearness
+    assert got == {(1, "exact", "test"), (2, "other_exact", "test"), (3, "near", "test"), (4, "exact", "train"), (6, "other_exact", "train")}
+
+
 def test_metrics(spark):
     a, b = "wo nahi aaya".split(), "wo nahin aaya".split()
     assert metrics.edit_distance(a, b) == 1 and metrics.lcs(a, b) == 2
