@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,42 +53,35 @@ def _fingerprints(texts: DataFrame, threshold: float, k: int, w: int, cap: int)
 def coverage(evaluated: str, train: str, k: int = GRAM) -> float:
     """Share of ``evaluated`` covered by a chain of common blocks.
 
-    Common k-grams are seeds; each is extended as far as the texts agree, and the longest
-    chain of blocks that lie in the same order in both texts is kept.
+    Common k-grams are seeds, at every place of ``train`` they stand; each is extended as far
+    as the texts agree.  The chain of blocks in the same order in both texts that covers
+    most is kept; of blocks that overlap, the later one counts only from where the earlier ends.
     """
     if not evaluated:
         return 0.0
     k = min(k, len(evaluated), len(train)) or 1
-    at: dict[str, int] = {}
+    at: dict[str, list[int]] = {}
     for i in range(len(train) - k + 1):
-        at.setdefault(train[i : i + k], i)
-    blocks, i = [], 0
-    while i + k <= len(evaluated):
-        j = at.get(evaluated[i : i + k])
-        if j is None:
-            i += 1
-            continue
-        s, t = i, j
-        while s > (blocks[-1][1] if blocks else 0) and t > 0 and evaluated[s - 1] == train[t - 1]:
-            s, t = s - 1, t - 1
-        e, f = i + k, j + k
-        while e < len(evaluated) and f < len(train) and evaluated[e] == train[f]:
-            e, f = e + 1, f + 1
-        blocks.append((s, e, t))
-        i = e
-    ends: list[int] = []  # heaviest chain: increasing position in train
-    best: list[float] = []
-    total = 0
-    for s, e, t in blocks:
-        p = bisect_left(ends, t)
-        gain = (best[p - 1] if p else 0) + e - s
-        while p < len(ends) and best[p] <= gain:
-            del ends[p], best[p]
-        if not p or best[p - 1] < gain:
-            ends.insert(p, t)
-            best.insert(p, gain)
-        total = max(total, gain)
-    return total / len(evaluated)
+        at.setdefault(train[i : i + k], []).append(i)
+    blocks, done = [], {}  # done: where the last block on a diagonal ends
+    for i in range(len(evaluated) - k + 1):
+        for j in at.get(evaluated[i : i + k], ()):
+            if i < done.get(j - i, 0):
+                continue
+            e, f = i + k, j + k
+            while e < len(evaluated) and f < len(train) and evaluated[e] == train[f]:
+                e, f = e + 1, f + 1
+            done[j - i] = e
+            blocks.append((i, j, e - i))
+    best: list[int] = []
+    for n, (s, t, m) in enumerate(blocks):  # in order of their start in evaluated
+        top = m
+        for (s0, t0, m0), v in zip(blocks[:n], best):
+            cut = max(0, s0 + m0 - s, t0 + m0 - t)  # what a block loses at its front behind an earlier one
+            if t0 <= t and cut < m and v + m - cut > top:
+                top = v + m - cut
+        best.append(top)
+    return max(best, default=0) / len(evaluated)
 
 
 def text_pairs(texts: DataFrame, threshold: float = 0.7, fields: int = 1, k: int = GRAM, w: int = WINDOW, cap: int = CAP) -> DataFrame:
@@ -167,32 +159,41 @@ def overlaps(df: DataFrame, id_col: str, split: str, fields: list[str], threshol
     return m.select(F.when(F.col("sx") == 1, F.col("x")).otherwise(F.col("y")).alias("train"), F.when(F.col("sx") == 2, F.col("x")).otherwise(F.col("y")).alias("evaluated")).distinct()
 
 
-def report(df: DataFrame, id_col: str, split: str, fields: list[str], runs: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(split, source, records, found, exact, coverage) of the evaluation records.
+def record_coverage(df: DataFrame, id_col: str, split: str, fields: list[str], runs: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(evaluated, split, source, found, exact, coverage): one row per evaluation record.
 
-    ``found``: records alike a train record; ``exact``: those of which a field is equal
-    but for case and punctuation; ``coverage``: over the found ones, the mean share of the
-    first field that a chain of blocks common with their best train record covers.
-    ``runs``: (run_id, source), a row per run.  Null sources are counted as such.
+    ``found``: alike a train record; ``exact``: a field is equal but for case and
+    punctuation; ``coverage``: the largest share of a field that a chain of blocks common
+    with a train text alike in that field covers, null where none is.  Each field is
+    measured on the text pairs that matched in it.  ``runs``: (run_id, source), a row per
+    run; a null source stays null.
     """
-    name = F.lower(F.regexp_replace(F.col(split), r"^\s+|\s+$", ""))
-    recs = df.select(F.col(id_col).cast("long").alias("seq"), name.alias("split"), "run_id", *[folded(c).alias(f"f{i}") for i, c in enumerate(fields)])
-    pairs = materialise(overlaps(df, id_col, split, fields, threshold), "overlaps")
+    rows, texts = _rows(df, id_col, F.col(split), fields)
+    texts = materialise(texts, "texts")
+    pairs = text_pairs(texts, threshold, len(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = b.column(1).to_pylist(), b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([1.0 if p == q else coverage(p, q) for p, q in zip(x, y)], pa.float64()), b.column(3)], names=["evaluated", "coverage", "exact"])
-
-    # one train partner per text pair is enough to know coverage: partners of equal text cover alike
-    t = recs.select(F.col("seq").alias("train"), *[F.col(f"f{i}").alias(f"t{i}") for i in range(len(fields))])
-    e = recs.select(F.col("seq").alias("evaluated"), *[f"f{i}" for i in range(len(fields))])
-    same = F.lit(False)
-    for i in range(len(fields)):
-        same = same | ((F.col(f"f{i}") == F.col(f"t{i}")) & (F.length(f"f{i}") >= 4))
-    both = pairs.join(t, "train").join(e, "evaluated").groupBy("evaluated", "f0", "t0").agg(F.max(same).alias("exact"))
-    cov = both.select("evaluated", "f0", "t0", "exact").mapInArrow(run, "evaluated long, coverage double, exact boolean")
-    best = cov.groupBy("evaluated").agg(F.max("coverage").alias("coverage"), F.max("exact").alias("exact"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([1.0 if p == q else coverage(p, q) for p, q in zip(x, y)], pa.float64()), pa.array([p == q for p, q in zip(x, y)])], names=["id", "coverage", "exact"])
+
+    # a text of both splits is evaluated against each like text of train, and the other way round
+    both = materialise(pairs.select("a", "b").unionAll(pairs.where("a <> b").select("b", "a")), "directed")
+    ev = texts.where(F.col("side").bitwiseAND(2) > 0).select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    tr = texts.where(F.col("side").bitwiseAND(1) > 0).select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    cov = both.join(ev, "a").join(tr, "b").select("a", "ta", "tb").mapInArrow(run, "id long, coverage double, exact boolean")
+    best = cov.groupBy("id").agg(F.max("coverage").alias("coverage"), F.max("exact").alias("exact"))
+    h = lambda c: F.unhex(F.md5(F.concat_ws("|", (F.col("id") % len(fields)) if c == "t" else F.col("f"), "text")))
+    best = texts.join(best, "id").select(h("t").alias("h"), "coverage", "exact")
+    per = rows.where("side = 2").select(h("r").alias("h"), "seq").join(best, "h").groupBy("seq").agg(F.max("coverage").alias("coverage"), F.max("exact").alias("exact"))
+    name = F.lower(F.regexp_replace(F.col(split), r"^\s+|\s+$", ""))
+    recs = df.select(F.col(id_col).cast("long").alias("seq"), name.alias("split"), "run_id").where(F.col("split").isin("dev", "test"))
     sources = F.broadcast(runs.select("run_id", "source"))  # a row per run
-    ev = recs.where(F.col("split").isin("dev", "test")).select(F.col("seq").alias("evaluated"), "split", "run_id").join(sources, "run_id", "left").join(best, "evaluated", "left")
-    return ev.groupBy("split", "source").agg(F.count("*").alias("records"), F.count("coverage").alias("found"), F.count(F.when(F.col("exact"), 1)).alias("exact"), F.avg("coverage").alias("coverage"))
+    out = recs.join(sources, "run_id", "left").join(per, "seq", "left")
+    return out.select(F.col("seq").alias("evaluated"), "split", "source", F.col("coverage").isNotNull().alias("found"), F.coalesce("exact", F.lit(False)).alias("exact"), "coverage")
+
+
+def report(df: DataFrame, id_col: str, split: str, fields: list[str], runs: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(split, source, records, found, exact, coverage): :func:`record_coverage` counted and averaged over the found."""
+    r = record_coverage(df, id_col, split, fields, runs, threshold)
+    return r.groupBy("split", "source").agg(F.count("*").alias("records"), F.count(F.when(F.col("found"), 1)).alias("found"), F.count(F.when(F.col("exact"), 1)).alias("exact"), F.avg("coverage").alias("coverage"))

@@ -81,6 +81,12 @@ def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     return cross_split.report(recs, "seq", "split", ["english", "hinglish"], runs)
 
 
+def p1_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Every evaluation record: whether it is in train, and how much of its best field is covered."""
+    recs, runs = table(spark, sf, "prepared_records"), table(spark, sf, "pipeline_runs")
+    return cross_split.record_coverage(recs, "seq", "split", ["english", "hinglish"], runs).withColumnRenamed("evaluated", "seq")
+
+
 def p2_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Every term with its counts and its mark."""
     return term_counts.marked_terms(table(spark, sf, "transformed_records"), "hinglish", "record_id").drop("n")
@@ -107,7 +113,7 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_terms, p3_found, p3_splits, p4_found, p5_found, p5_collapsed, p6_found, p6_groups, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_coverage, p1_report, p2_found, p2_terms, p3_found, p3_splits, p4_found, p5_found, p5_collapsed, p6_found, p6_groups, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_redacted)}
 
 
 FOLD = r"trim(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"

@@ -132,6 +132,23 @@ def test_coverage():
     assert 0.3 < cross_split.coverage(a[:60] + "#" * 60, a) < 0.6
 
 
+def test_coverage_of_repeated_passages():
+    a, b, c = (t[:60] for t in sentences(3))
+    assert cross_split.coverage(a + b + c, b + "#" + a + "#" + b + "#" + c) == 1.0
+    assert cross_split.coverage("ab" * 40, "ab" * 40) == 1.0
+
+
+def test_report_measures_the_field_that_matched(spark):
+    a, b, c = sentences(3)
+    rows = [(1, "train", a, c, "r"), (2, "test", b, c, "r"), (3, "dev", sentences(1)[0], "zz", "r"), (4, "test", a, "yy", None)]
+    df = spark.createDataFrame(rows, "seq long, split string, english string, hinglish string, run_id string")
+    runs = spark.createDataFrame([("r", "chat")], "run_id string, source string")
+    got = {r.evaluated: (r.split, r.source, r.found, r.exact, r.coverage) for r in cross_split.record_coverage(df, "seq", "split", ["english", "hinglish"], runs).collect()}
+    assert got == {2: ("test", "chat", True, True, 1.0), 3: ("dev", "chat", False, False, None), 4: ("test", None, True, True, 1.0)}
+    rep = {(r.split, r.source): (r.records, r.found, r.exact, r.coverage) for r in cross_split.report(df, "seq", "split", ["english", "hinglish"], runs).collect()}
+    assert rep == {("test", "chat"): (1, 1, 1, 1.0), ("dev", "chat"): (1, 0, 0, None), ("test", None): (1, 1, 1, 1.0)}
+
+
 @pytest.mark.parametrize("block", [30, 10_000])
 def test_ngrams_against_counting(spark, block):
     texts = ["a b a b c", "a a a", "", None, "b c b c b c", "É é-É"] + sentences(20, 12)
