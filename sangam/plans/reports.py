@@ -256,9 +256,29 @@ def _em1(s, d):
     return c.join(t, "e").select("h", "e", (F.col("c") / F.col("t")).alias("p"))
 
 
+ROUNDS = 12  # of the reference's alignment
+
+
+def _em(s, d, rounds):
+    """Model 1 probabilities (h, e, p) after so many rounds from uniform ones; each round's table is written."""
+    t = materialise(_em1(s, d), "em")
+    if rounds == 1:
+        return t
+    p = _pairs(s, d)
+    h = p.select("seq", F.explode("h").alias("h")).groupBy("seq", "h").agg(F.count("*").alias("nh"))
+    e = p.select("seq", F.explode(F.concat(F.array(F.lit("")), "e")).alias("e")).groupBy("seq", "e").agg(F.count("*").alias("ne"))
+    x = materialise(h.join(e, "seq"), "links")  # equal words of a sentence have equal shares, so one row stands for all
+    for _ in range(rounds - 1):
+        y = x.join(t, ["h", "e"]).withColumn("w", F.col("ne") * F.col("p"))
+        y = y.withColumn("share", F.col("nh") * F.col("w") / F.sum("w").over(W.partitionBy("seq", "h"))).where("share > 0")  # the words of one sentence
+        c = materialise(y.groupBy("h", "e").agg(F.sum("share").alias("c")), "em")
+        t = materialise(c.join(c.groupBy("e").agg(F.sum("c").alias("t")), "e").select("h", "e", (F.col("c") / F.col("t")).alias("p")), "em")
+    return t
+
+
 @query("WITH " + _S_EM + " SELECT h, e, round(p, 9) AS p FROM t WHERE p >= 0.0123457")
 def em_first_round(s, d):
-    """G8, J17, D13."""
+    """The first of the rounds of G8."""
     return _em1(s, d).where("p >= 0.0123457").select("h", "e", F.round("p", 9).alias("p"))
 
 
@@ -294,12 +314,28 @@ def critical_path(s, d):
        "l AS (SELECT seq, j, i FROM b WHERE n = 1), d AS (SELECT seq, i, lag(i) OVER (PARTITION BY seq ORDER BY j) AS before FROM l WHERE i > 0), k AS (SELECT seq, count(*) AS linked, 1 + count(*) FILTER (WHERE i < before) AS blocks FROM d GROUP BY seq) "
        "SELECT seq, count(*) AS words, coalesce(any_value(linked), 0) AS linked, coalesce(any_value(blocks), 0) AS blocks FROM l LEFT JOIN k USING (seq) GROUP BY seq")
 def link_blocks(s, d):
-    """Best link of every word (no source wins ties, then the first), cut where links go back."""
+    """Links and blocks after one round, which SQL can check; :func:`link_blocks_full` has all rounds."""
+    return _blocks(_links(s, d, 1))
+
+
+@query()
+def link_blocks_full(s, d):
+    """Links and blocks after the 12 rounds of the model."""
+    return _blocks(_links(s, d, ROUNDS))
+
+
+def _links(s, d, rounds):
+    """(seq, j, i): best link of every word (no source wins ties, then the first)."""
     p = _pairs(s, d)
     w = p.select("seq", "e", F.posexplode("h").alias("j", "h"))
     x = w.select("seq", "j", "h", F.posexplode(F.concat(F.array(F.lit("")), "e")).alias("i", "e"))
-    t = _em1(s, d).select("h", "e", F.floor(F.col("p") * 1000003 + 0.37).alias("p"))  # equal up to summation order
-    best = x.join(t, ["h", "e"]).groupBy("seq", "j").agg((-F.max(F.struct("p", (-F.col("i")).alias("m")))["m"]).alias("i"))
+    v = F.floor(F.col("p") * 1000003 + 0.37) if rounds == 1 else F.round("p", 12)  # equal up to summation order
+    t = _em(s, d, rounds).select("h", "e", v.alias("p"))
+    return x.join(t, ["h", "e"]).groupBy("seq", "j").agg((-F.max(F.struct("p", (-F.col("i")).alias("m")))["m"]).alias("i"))
+
+
+def _blocks(best):
+    """Words, linked words and blocks per sentence, cut where links go back."""
     g = best.groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("j", "i"))).alias("l"))
 
     def count(v):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sangam.operators import clean, codemix, metrics, neardup, translit
+from sangam.plans import reports
 from sangam.sources import readers, sinks
 from sangam.streaming.monitor import daily_counts
 
@@ -78,6 +79,32 @@ def test_contamination_by_key_other_side_and_nearness(spark):
     assert got == {(1, "exact", "test"), (2, "other_exact", "test"), (3, "near", "test"), (4, "exact", "train"), (6, "other_exact", "train")}
 
 
+def test_all_rounds_of_the_alignment(spark, tmp_path):
+    pairs = [("red lamp", "lal deepak"), ("red red door", "lal darwaza"), ("lamp is red", "deepak lal lal hai"), ("door is old", "purana hai darwaza"), ("old lamp", "purana deepak"), ("", "akela"), ("x", "")]
+    df = spark.createDataFrame([(i, "train", "g", e, h) for i, (e, h) in enumerate(pairs)], "seq long, split string, group_id string, english string, hinglish string")
+    df.write.parquet(str(tmp_path / "prepared_records.parquet"))
+    t = {}
+    for _ in range(12):
+        c, tot = {}, {}
+        for e, h in pairs:
+            for w in h.split():
+                z = sum(t.get((w, v), 0.0) if t else 1.0 for v in ["", *e.split()])
+                for v in ["", *e.split()]:
+                    q = (t.get((w, v), 0.0) if t else 1.0) / z
+                    c[w, v], tot[v] = c.get((w, v), 0.0) + q, tot.get(v, 0.0) + q
+        t = {k: v / tot[k[1]] for k, v in c.items()}
+    got = {(r.h, r.e): r.p for r in reports._em(spark, str(tmp_path), 12).collect()}
+    assert got == pytest.approx(t)
+    full = {r.seq: (r.words, r.linked, r.blocks) for r in reports.link_blocks_full(spark, str(tmp_path)).collect()}
+    want = {}
+    for n, (e, h) in enumerate(pairs):
+        links = [max(range(len(e.split()) + 1), key=lambda i: (round(t[w, ["", *e.split()][i]], 12), -i)) for w in h.split()]
+        on = [i for i in links if i]
+        if links:
+            want[n] = (len(links), len(on), (1 + sum(a > b for a, b in zip(on, on[1:]))) if on else 0)
+    assert full == want
+
+
 def test_metrics(spark):
     a, b = "wo nahi aaya".split(), "wo nahin aaya".split()
     assert metrics.edit_distance(a, b) == 1 and metrics.lcs(a, b) == 2
