@@ -284,11 +284,18 @@ def em_first_round(s, d):
 
 @query("WITH g AS (SELECT seq, english, hinglish FROM prepared_records), n AS (SELECT least(seq % 11 + 2, 12)::INT AS n FROM g) SELECT n, count(*) AS sentences, (sum((1 << n) - 2))::BIGINT AS candidates FROM n GROUP BY n")
 def candidate_counts(s, d):
-    """Realisations of n blocks, 2 to the n less the two pure ones."""
+    """The closed form 2 to the n less 2 over made-up numbers of blocks; :func:`codemix_candidates` enumerates real ones."""
     n = _prep(s, d).select(F.least(F.col("seq") % 11 + 2, F.lit(12)).cast("int").alias("n"))
     return n.groupBy("n").agg(F.count("*").alias("sentences"), F.sum(F.expr("shiftleft(1L, n) - 2")).alias("candidates"))
 
 
+@query()
+def codemix_candidates(s, d):
+    """Every mixed realisation of a sentence of 2 to 12 blocks, links of all rounds."""
+    best = _links(s, d, ROUNDS).groupBy("seq").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "i"))), lambda a: a["i"]).alias("links"))
+    return codemix.realisations(_pairs(s, d).join(best, "seq"))
+
+
 @query()
 def renderings_scored(s, d):
     """chrF++, BLEU, ROUGE-L and WER of each other rendering against the first."""

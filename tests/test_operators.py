@@ -103,6 +103,17 @@ def test_all_rounds_of_the_alignment(spark, tmp_path):
         if links:
             want[n] = (len(links), len(on), (1 + sum(a > b for a, b in zip(on, on[1:]))) if on else 0)
     assert full == want
+    rows = reports.codemix_candidates(spark, str(tmp_path)).collect()
+    per = {n: sum(r.seq == n for r in rows) for n in want}
+    assert per == {n: 2**b - 2 if b > 1 else 0 for n, (_, _, b) in want.items()} and sum(per.values()) > 0
+
+
+def test_realisations():
+    e, h, links = "a b c d".split(), "w x y z".split(), [3, 0, 1, 2]  # c . | a b, and d goes to c
+    assert codemix.spans(4, links) == [([2, 3], [0, 1]), ([0, 1], [2, 3])]
+    assert list(codemix.mixed(e, h, links)) == [(1, "c d y z", 1, 1 / 3), (2, "w x a b", 1, 1 / 3)]
+    down = list(range(13, 0, -1))
+    assert not list(codemix.mixed(["s"] * 13, ["t"] * 13, down)) and len(list(codemix.mixed(["s"] * 12, ["t"] * 12, down[1:]))) == 2**12 - 2
 
 
 def test_metrics(spark):
