@@ -268,6 +268,12 @@ def test_defects_find_cut_answers(spark):
     assert pair_defects.defects(df.limit(0), "english", "hinglish", "seq").count() == 0
 
 
+def test_case_is_that_of_the_whole_text():
+    names = lambda t: {s.x[6] for s in pii.Model().spans(t) if s.kind == "name"}
+    low = "all of this stands in lower case " * 15
+    assert names(low) == {1.0} and names(low + "and Rutik Golamovar writes Thus") == {0.0}
+
+
 def test_pii(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     own = "Mera naam Rutik Golamovar hai. mail r.golamo@tinforge.example pe. tracking number 5123 5719 6457, kal tak aayega. passport: Q7464833\nGhar: Flat 12B, Talura Lane, Tirvel, PIN 081544. Call me on +91-5155972331 after six."
