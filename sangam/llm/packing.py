@@ -1,4 +1,4 @@
-"""Filling fixed-capacity containers: bin completion by branch and bound."""
+"""Filling fixed-capacity containers one after another, each by branch and bound."""
 
 from __future__ import annotations
 
@@ -86,6 +86,7 @@ def best_fit(items: list[int], capacity: int) -> list[list[int]]:
 def complete_bins(items: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
     """Containers of ``items`` (each of 1 to ``capacity``): completions around the largest item.
 
+    Greedy: a container is closed with the first fullest completion found and not reopened.
     The bound is ceil(sum / capacity); when it, or the best-fit incumbent, cannot be beaten
     the search ends.  Wider searches are tried only while the bound is missed.
     """
