@@ -1,4 +1,9 @@
-"""Records of evaluation splits that also stand in train: winnowed fingerprints across splits."""
+"""Records of evaluation splits that also stand in train: winnowed fingerprints across splits.
+
+Selected minima of rolling hashes are joined across splits, pairs sharing enough of them are
+checked on all their n-grams, and the seeds of the accepted ones are chained and extended by
+alignment to the share of each text that the other covers.
+"""
 
 from __future__ import annotations
 
@@ -6,109 +11,260 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sangam.functions.text import folded
-from sangam.llm.buckets import HOT, KEYED, bucket_pairs, keyed_batch
+from sangam.llm.buckets import HOT, bucket_pairs
 from sangam.llm.near_duplicates import band_keys, prefix_pairs
-from sangam.llm.shingles import Checker, MinHasher, distinct_grams, winnow
+from sangam.llm.shingles import Checker, MinHasher, mix64, winnow
 from sangam.session import materialise
 
-GRAM, WINDOW, CAP = 20, 20, 32
-SHORT = 60  # texts up to so many characters have too few windows: their MinHash bands are keys too
-LONG_FROM = 40  # at likeness 0.7 no text of 60 meets one under 40
+GRAM, WINDOW = 16, 20
+CAP = 256  # cross-split pairs one fingerprint may give; hotter ones are not paired
+FEW = 8  # a text with fewer cold fingerprints is compared by MinHash bands too
+SHORT = 160  # texts up to so many characters have too few windows: their MinHash bands are keys instead
+LONG_FROM = 110  # at likeness 0.7 no text above SHORT meets one under this
+BLOCK_TEXTS = 256  # texts fingerprinted at a time: the arrays stay in the processor's cache
 BLOCK_ROWS = 1_000_000
+BLOCK_HOT = 1024  # texts of one block a fingerprint may stand in before its members go the other way
+ROWS_A_TASK = 1_500_000
+_MARK, _BOTH, _EVAL, _TRAIN, _COUNT = range(5)  # what a keyed row is, in the order of a group
+_CLASS = np.array([_COUNT, _TRAIN, _EVAL, _BOTH])  # by side
+_KEYED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("m", pa.int32())])
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32())])
+
+
+def _block(key: np.ndarray, id_: np.ndarray, m: np.ndarray, short: np.ndarray, few: int) -> pa.RecordBatch:
+    """Keyed rows of many texts; a key of very many becomes a marker, each text's others are counted.
+
+    A short text starts from ``few``, so one hot key of its bands sends it the other way.
+    """
+    order = np.argsort(key, kind="stable")
+    key, id_, m, short = key[order], id_[order], m[order], short[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(first, len(key)))
+    hot = np.repeat(size > BLOCK_HOT, size)
+    mark = key[first[size > BLOCK_HOT]]
+    ids, head, at = np.unique(id_, return_index=True, return_inverse=True)
+    cold = np.bincount(at[~hot], minlength=len(ids))
+    cold = np.where(short[head], np.maximum(few - np.bincount(at[hot], minlength=len(ids)), 0), cold).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate((mark, key[~hot], mix64(ids.astype(np.uint64)).view(np.int64)))),
+            pa.array(np.concatenate((np.zeros(len(mark), np.int64), id_[~hot], ids))),
+            pa.array(np.concatenate((np.full(len(mark), _MARK, np.int32), m[~hot], _COUNT + cold))),
+        ],
+        schema=_KEYED,
+    )
 
 
-def _fingerprints(texts: DataFrame, threshold: float, k: int, w: int, cap: int) -> DataFrame:
+def _fingerprints(texts: DataFrame, threshold: float, fields: int, k: int, w: int, few: int) -> DataFrame:
     hasher = MinHasher(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            texts, side = batch.column(1).to_pylist(), batch.column(2).to_numpy()
-            lengths, sizes = np.array([len(t) for t in texts], np.int64), distinct_grams(texts)
-            owner, key, _ = winnow(texts, k, w)
-            use = lengths[owner] >= LONG_FROM
-            owner, key = owner[use], key[use]
-            pair = np.unique(np.stack((owner, key)), axis=1) if len(owner) else np.empty((2, 0), np.int64)
-            parts.append((pair[1], ids[pair[0]], sizes[pair[0]], side[pair[0]]))
-            rows += pair.shape[1]
-            for i in np.flatnonzero(lengths <= SHORT):
-                keys, n = hasher.keys(texts[i])
-                if n:
-                    parts.append((keys, np.full(len(keys), ids[i]), np.full(len(keys), sizes[i]), np.full(len(keys), side[i])))
-                    rows += len(keys)
+            for s in range(0, batch.num_rows, BLOCK_TEXTS):
+                part = batch.slice(s, BLOCK_TEXTS)
+                ids, texts = part.column(0).to_numpy(), part.column(1).to_pylist()
+                m = _CLASS[part.column(2).to_numpy()].astype(np.int32)
+                salt = mix64((ids % fields + 1).astype(np.uint64)).view(np.int64)  # texts of one field only meet
+                lengths = np.array([len(t) for t in texts], np.int64)
+                owner, key, _ = winnow(texts, k, w)
+                use = lengths[owner] >= LONG_FROM
+                owner, key = owner[use], key[use]
+                if len(owner):
+                    order = np.lexsort((key, owner))
+                    owner, key = owner[order], key[order]
+                    new = np.concatenate(([True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])))
+                    owner, key = owner[new], key[new]
+                    parts.append((key ^ salt[owner], ids[owner], m[owner], lengths[owner] <= SHORT))
+                    rows += len(owner)
+                for i in np.flatnonzero(lengths <= SHORT):
+                    keys, n = hasher.keys(texts[i])
+                    if n:
+                        # twice, under two keys: one band in common is enough, as two fingerprints are
+                        keys = np.concatenate((keys, keys ^ 1)) ^ salt[i]
+                        parts.append((keys, np.full(len(keys), ids[i]), np.full(len(keys), m[i], np.int32), np.ones(len(keys), bool)))
+                        rows += len(keys)
             if rows >= BLOCK_ROWS:
-                yield keyed_batch(*[np.concatenate(x) for x in zip(*parts)], cap)
+                yield _block(*[np.concatenate(x) for x in zip(*parts)], few)
                 parts, rows = [], 0
         if rows:
-            yield keyed_batch(*[np.concatenate(x) for x in zip(*parts)], cap)
+            yield _block(*[np.concatenate(x) for x in zip(*parts)], few)
+
+    return texts.select("id", "text", F.col("side").cast("int").alias("side")).mapInArrow(run, "key long, id long, m int")
+
+
+def _out(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c.astype(np.int32))], schema=_PAIRS)
+
+
+def _cross(key: np.ndarray, id_: np.ndarray, m: np.ndarray, cap: int) -> Iterator[pa.RecordBatch]:
+    """Cross-split pairs of whole groups in key order, members of hot groups, and counts."""
+    count = m >= _COUNT
+    if count.any():
+        yield _out(id_[count], np.full(count.sum(), HOT), m[count] - _COUNT)
+        key, id_, m = key[~count], id_[~count], m[~count]
+    if not len(key):
+        return
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(first, len(key)))
+    marked, both, ev, tr = (np.add.reduceat((m == v).astype(np.int64), first) for v in (_MARK, _BOTH, _EVAL, _TRAIN))
+    e, t = both + ev, both + tr
+    over = (marked > 0) | (e * t > cap)
+    hot = np.repeat(over, size) & (m > _MARK)
+    if hot.any():
+        yield _out(id_[hot], np.full(hot.sum(), HOT), np.full(hot.sum(), -1))
+    use = np.flatnonzero(~over & (e * t > 0))
+    reps = (e * t)[use]
+    g = np.repeat(use, reps)
+    at = np.arange(len(g)) - np.repeat(np.cumsum(reps) - reps, reps)
+    x, y = at // t[g], at % t[g]
+    i = first[g] + x  # texts of both splits stand first, those of evaluation next, those of train last
+    j = first[g] + y + np.where(y >= both[g], ev[g], 0)
+    ok = (id_[i] != id_[j]) & ~((m[i] == _BOTH) & (m[j] == _BOTH) & (i > j))
+    i, j = i[ok], j[ok]
+    if len(i):
+        yield _out(np.minimum(id_[i], id_[j]), np.maximum(id_[i], id_[j]), np.ones(len(i)))
+
+
+def _reducer(cap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if rest is not None:
+                cols = [np.concatenate(p) for p in zip(rest, cols)]
+            if not len(cols[0]):
+                continue
+            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last group may go on
+            yield from _cross(*[c[:cut] for c in cols], cap)
+            rest = [c[cut:] for c in cols]
+            m = rest[2]
+            e, t = (m <= _EVAL).sum(), ((m == _BOTH) | (m == _TRAIN)).sum()
+            if (m == _MARK).any() or e * t > cap or e > cap:  # hot: its members leave, a marker stays for those to come
+                yield from _cross(*[np.append(r[m > _MARK], v) for r, v in zip(rest, (rest[0][0], 0, _MARK))], cap)
+                rest = [rest[0][:1], np.zeros(1, np.int64), np.full(1, _MARK, np.int32)]
+            elif not e:  # rows are in the order of their class: only train rows follow
+                rest = [r[:1] for r in rest]
+        if rest is not None:
+            yield from _cross(*rest, cap)
+
+    return run
+
 
-    return texts.select("id", "text", F.col("side").cast("int").alias("side")).mapInArrow(run, KEYED)
+def _common(x: str, y: str) -> int:
+    """Length of the longest common subsequence, by bits of one integer."""
+    at: dict[str, int] = {}
+    for i, ch in enumerate(x):
+        at[ch] = at.get(ch, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    v = full
+    for ch in y:
+        u = v & at.get(ch, 0)
+        v = (v + u | v - u) & full
+    return len(x) - v.bit_count()
 
 
-def coverage(evaluated: str, train: str, k: int = GRAM) -> float:
-    """Share of ``evaluated`` covered by a chain of common blocks.
+def seeds_of(texts: list[str], k: int = GRAM, w: int = WINDOW) -> list[dict[int, list[int]]]:
+    """Winnowed fingerprints of each text with all their places."""
+    out: list[dict[int, list[int]]] = [{} for _ in texts]
+    for o, h, p in zip(*(v.tolist() for v in winnow(texts, k, w))):
+        out[o].setdefault(h, []).append(p)
+    return out
 
-    Common k-grams are seeds, at every place of ``train`` they stand; each is extended as far
-    as the texts agree.  The chain of blocks in the same order in both texts that covers
-    most is kept; of blocks that overlap, the later one counts only from where the earlier ends.
+
+def chained(x: str, y: str, sx: dict[int, list[int]], sy: dict[int, list[int]], k: int = GRAM) -> int:
+    """Characters of ``x`` that a chain of seeds shared with ``y`` covers once extended by alignment.
+
+    Each shared fingerprint is a seed at every place it has; it grows both ways as far as the
+    texts agree.  Of the blocks in the same order in both texts the chain covering most is kept
+    (of blocks that overlap, the later counts from where the earlier ends).  Between blocks and
+    at the ends the texts are aligned: where at least 6 of 10 characters of the longer
+    side align, those count too.
     """
+    at = sorted((i, j) for h in sx.keys() & sy.keys() for i in sx[h] for j in sy[h])
+    blocks, done = [], {}  # done: where the last block on a diagonal ends
+    for i, j in at:
+        if i < done.get(j - i, 0):
+            continue
+        e, f = i + k, j + k
+        while e < len(x) and f < len(y) and x[e] == y[f]:
+            e, f = e + 1, f + 1
+        while i > 0 and j > 0 and x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+        done[j - i] = e
+        blocks.append((i, j, e - i))
+    if not blocks:
+        return 0
+    blocks.sort()
+    s, t, m = (np.array(v) for v in zip(*blocks))
+    best, back = m.copy(), np.full(len(m), -1)
+    for n in range(1, len(m)):
+        cut = np.maximum(0, np.maximum(s[:n] + m[:n] - s[n], t[:n] + m[:n] - t[n]))  # what a block loses at its front behind an earlier one
+        v = np.where((t[:n] <= t[n]) & (cut < m[n]), best[:n] + m[n] - cut, 0)
+        p = int(v.argmax())
+        if v[p] > best[n]:
+            best[n], back[n] = v[p], p
+    n = int(best.argmax())
+    total, right, down = int(best[n]), len(x), len(y)
+    while True:
+        total += _gap(x[int(s[n] + m[n]) : right], y[int(t[n] + m[n]) : down])
+        right, down = int(s[n]), int(t[n])
+        if back[n] < 0:
+            return total + _gap(x[:right], y[:down])
+        n = back[n]
+
+
+def _gap(x: str, y: str) -> int:
+    if not x or not y:
+        return 0
+    c = _common(x, y)
+    return c if c >= 0.6 * max(len(x), len(y)) else 0
+
+
+def coverage(evaluated: str, train: str, k: int = GRAM, w: int = WINDOW) -> float:
+    """Share of ``evaluated`` that a chain of winnowed seeds common with ``train`` covers."""
     if not evaluated:
         return 0.0
+    if evaluated == train:
+        return 1.0
     k = min(k, len(evaluated), len(train)) or 1
-    at: dict[str, list[int]] = {}
-    for i in range(len(train) - k + 1):
-        at.setdefault(train[i : i + k], []).append(i)
-    blocks, done = [], {}  # done: where the last block on a diagonal ends
-    for i in range(len(evaluated) - k + 1):
-        for j in at.get(evaluated[i : i + k], ()):
-            if i < done.get(j - i, 0):
-                continue
-            e, f = i + k, j + k
-            while e < len(evaluated) and f < len(train) and evaluated[e] == train[f]:
-                e, f = e + 1, f + 1
-            done[j - i] = e
-            blocks.append((i, j, e - i))
-    best: list[int] = []
-    for n, (s, t, m) in enumerate(blocks):  # in order of their start in evaluated
-        top = m
-        for (s0, t0, m0), v in zip(blocks[:n], best):
-            cut = max(0, s0 + m0 - s, t0 + m0 - t)  # what a block loses at its front behind an earlier one
-            if t0 <= t and cut < m and v + m - cut > top:
-                top = v + m - cut
-        best.append(top)
-    return max(best, default=0) / len(evaluated)
-
-
-def text_pairs(texts: DataFrame, threshold: float = 0.7, fields: int = 1, k: int = GRAM, w: int = WINDOW, cap: int = CAP) -> DataFrame:
-    """(a, b): ids of alike texts (id, text, side), one in train (bit 1), one in evaluation (bit 2).
-
-    Fingerprints up to ``cap`` texts share are joined; pairs sharing two (one, where the
-    smaller text has few) are checked by likeness.  A pair that shares a hotter fingerprint
-    has it in both texts, so all texts with any are compared with one another by MinHash
-    bands too, and what is still hot there by exact prefix filtering: no pair is left out
-    for being boilerplate.
-    Only texts of one field, the remainder of the id by ``fields``, are compared.
+    sx, sy = seeds_of([evaluated, train], k, w)
+    return chained(evaluated, train, sx, sy, k) / len(evaluated)
+
+
+def text_pairs(texts: DataFrame, threshold: float = 0.7, fields: int = 1, k: int = GRAM, w: int = WINDOW, cap: int = CAP, few: int = FEW, size: int = 0) -> DataFrame:
+    """(a, b, sa, sb, ca, cb): ids and sides of alike texts (id, text, side), one in train (bit 1), one in evaluation (bit 2).
+
+    Pairs sharing two winnowed fingerprints are candidates, checked by likeness; ``ca`` and
+    ``cb`` are the shares of the two texts that their chained seeds cover.  A fingerprint
+    that would give more than ``cap`` cross-split pairs is hot and gives none; a text left with
+    fewer than ``few`` others is compared with the like by MinHash bands, and what is hot there
+    too by exact prefix filtering.  So is any pair of texts up to SHORT characters, by bands
+    in place of fingerprints.  Only texts of one field, the remainder of the id by
+    ``fields``, are compared.  ``size``: characters of all texts, if known, for the number of tasks.
     """
     texts = texts.where(F.length("text") >= 4)
-    out = bucket_pairs(_fingerprints(texts, threshold, k, w, cap), cap, threshold, cross=True, small=3 * SHORT)
-    own = (F.col("b") == HOT) | (F.col("a") % fields == F.col("b") % fields)
-    out = materialise(out.where(own).groupBy("a", "b").agg(F.sum("c").alias("c")).where((F.col("c") >= 2) | (F.col("b") == HOT)), "seeds")
+    default = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(default, size * 2 // (w + 1) // ROWS_A_TASK)
+    keyed = _fingerprints(texts, threshold, fields, k, w, few).repartition(tasks, "key").sortWithinPartitions("key", "m")
+    out = keyed.mapInArrow(_reducer(cap), "a long, b long, c int").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    wanted = ((F.col("b") != HOT) & (F.col("c") >= 2)) | ((F.col("b") == HOT) & (F.col("c") < few))
+    out = materialise(out.where(wanted).select("a", "b"), "seeds")
     hot = out.where(F.col("b") == HOT).select(F.col("a").alias("id"))  # one row per id after the sum
-    dull = materialise(texts.join(hot, "id", "left_semi").select("id", "text", "side"), "boilerplate")
-    cand = out.where(F.col("b") != HOT).select("a", "b")
-    if not dull.isEmpty():
-        again = bucket_pairs(band_keys(dull, MinHasher(threshold), cap, "side"), cap, threshold, cross=True)
+    cand = out.where(F.col("b") != HOT)
+    if not hot.isEmpty():
+        dull = materialise(texts.join(hot, "id", "left_semi").select("id", "text", "side"), "boilerplate")
+        again = bucket_pairs(band_keys(dull, MinHasher(threshold), 32, "side"), 32, threshold, cross=True)
         again = materialise(again.select("a", "b").distinct(), "bands")
         still = again.where(F.col("b") == HOT).select(F.col("a").alias("id"))
         more = again.where(F.col("b") != HOT)
         if not still.isEmpty():
-            few = materialise(dull.join(still, "id", "left_semi"), "hot")  # written, or n-grams are made of all texts before the join
-            more = more.unionByName(prefix_pairs(few, threshold))
+            few_texts = materialise(dull.join(still, "id", "left_semi"), "hot")  # written, or n-grams are made of all texts before the join
+            more = more.unionByName(prefix_pairs(few_texts, threshold))
         cand = cand.unionByName(more.where(F.col("a") % fields == F.col("b") % fields)).distinct()
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("side").alias("sa"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("side").alias("sb"))
@@ -118,16 +274,28 @@ def text_pairs(texts: DataFrame, threshold: float = 0.7, fields: int = 1, k: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check = Checker(threshold)
         for batch in batches:
-            a, b, x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = np.array([check(p, q) > 0 for p, q in zip(x, y)], dtype=bool)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            at = [i for i, (p, q) in enumerate(zip(x, y)) if check(p, q) > 0]
+            seeds = seeds_of([t for i in at for t in (x[i], y[i])], k, w)
+            ca = [chained(x[i], y[i], seeds[2 * n], seeds[2 * n + 1], k) / len(x[i]) for n, i in enumerate(at)]
+            cb = [chained(y[i], x[i], seeds[2 * n + 1], seeds[2 * n], k) / len(y[i]) for n, i in enumerate(at)]
+            take = pa.array(at, pa.int64())
+            cols = [batch.column(n).take(take) for n in (0, 1, 4, 5)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(ca, pa.float64()), pa.array(cb, pa.float64())], names=["a", "b", "sa", "sb", "ca", "cb"])
 
-    near = both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
-    exact = texts.where(F.col("side") == 3).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    near = both.select("a", "b", "ta", "tb", "sa", "sb").mapInArrow(run, "a long, b long, sa int, sb int, ca double, cb double")
+    one = F.lit(1.0)
+    exact = texts.where(F.col("side") == 3).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(3).alias("sa"), F.lit(3).alias("sb"), one.alias("ca"), one.alias("cb"))
     return near.unionAll(exact)
 
 
-def _rows(df: DataFrame, id_col: str, split: Column, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+def _hash(f: Column, text: str) -> list[Column]:
+    """128 bits of a field and its text, to join by."""
+    return [F.xxhash64(f.cast("int"), F.col(text)).alias("h1"), F.xxhash64(F.lit(97), F.col(text), f.cast("int")).alias("h2")]
+
+
+def _rows(df: DataFrame, id_col: str, split: Column, fields: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (seq, side, f, text), written distinct texts (id, text, side), and their characters in all."""
     s = F.lower(F.regexp_replace(split, r"^\s+|\s+$", ""))
     side = F.when(s == "train", 1).when(s.isin("dev", "test"), 2)
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), folded(c).alias("text")) for i, c in enumerate(fields)]))
@@ -135,7 +303,9 @@ def _rows(df: DataFrame, id_col: str, split: Column, fields: list[str]) -> tuple
     rows = rows.select("seq", "side", F.col("x.f").alias("f"), F.col("x.text").alias("text")).where(F.length("text") >= 4)
     bit = lambda v: F.max(F.when(F.col("side") == v, v).otherwise(0))
     texts = rows.groupBy("f", "text").agg((F.min("seq") * len(fields) + F.first("f")).alias("id"), (bit(1) + bit(2)).alias("side"))
-    return rows, texts.select("id", "text", "side")
+    seen = Observation()
+    texts = materialise(texts.select("id", "text", "side").observe(seen, F.sum(F.length("text")).alias("n")), "texts")
+    return rows, texts, seen.get["n"] or 0
 
 
 def overlaps(df: DataFrame, id_col: str, split: str, fields: list[str], threshold: float = 0.7) -> DataFrame:
@@ -146,13 +316,11 @@ def overlaps(df: DataFrame, id_col: str, split: str, fields: list[str], threshol
     Texts are compared once each and records expanded at the end, in joins AQE splits
     where one text stands in very many records.  Extra columns are not read.
     """
-    rows, texts = _rows(df, id_col, F.col(split), fields)
-    texts = materialise(texts, "texts")
-    pairs = materialise(text_pairs(texts, threshold, len(fields)), "pairs")
-    h = lambda c: F.unhex(F.md5(F.concat_ws("|", (F.col("id") % len(fields)) if c == "t" else F.col("f"), "text")))
+    rows, texts, size = _rows(df, id_col, F.col(split), fields)
+    pairs = materialise(text_pairs(texts, threshold, len(fields), size=size).select("a", "b"), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = texts.join(ids, "id", "left_semi").select(h("t").alias("h"), "id")
-    member = materialise(rows.select(h("r").alias("h"), "seq", "side").join(wanted, "h").select("id", "seq", "side"), "members")
+    wanted = texts.join(ids, "id", "left_semi").select(*_hash(F.col("id") % len(fields), "text"), "id")
+    member = materialise(rows.select(*_hash(F.col("f"), "text"), "seq", "side").join(wanted, ["h1", "h2"]).select("id", "seq", "side"), "members")
     x = member.select(F.col("id").alias("a"), F.col("seq").alias("x"), F.col("side").alias("sx"))
     y = member.select(F.col("id").alias("b"), F.col("seq").alias("y"), F.col("side").alias("sy"))
     m = pairs.join(x, "a").join(y, "b").where("sx <> sy")
@@ -163,29 +331,19 @@ def record_coverage(df: DataFrame, id_col: str, split: str, fields: list[str], r
     """(evaluated, split, source, found, exact, coverage): one row per evaluation record.
 
     ``found``: alike a train record; ``exact``: a field is equal but for case and
-    punctuation; ``coverage``: the largest share of a field that a chain of blocks common
+    punctuation; ``coverage``: the largest share of a field that a chain of seeds common
     with a train text alike in that field covers, null where none is.  Each field is
     measured on the text pairs that matched in it.  ``runs``: (run_id, source), a row per
     run; a null source stays null.
     """
-    rows, texts = _rows(df, id_col, F.col(split), fields)
-    texts = materialise(texts, "texts")
-    pairs = text_pairs(texts, threshold, len(fields))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column(1).to_pylist(), b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([1.0 if p == q else coverage(p, q) for p, q in zip(x, y)], pa.float64()), pa.array([p == q for p, q in zip(x, y)])], names=["id", "coverage", "exact"])
-
-    # a text of both splits is evaluated against each like text of train, and the other way round
-    both = materialise(pairs.select("a", "b").unionAll(pairs.where("a <> b").select("b", "a")), "directed")
-    ev = texts.where(F.col("side").bitwiseAND(2) > 0).select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    tr = texts.where(F.col("side").bitwiseAND(1) > 0).select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    cov = both.join(ev, "a").join(tr, "b").select("a", "ta", "tb").mapInArrow(run, "id long, coverage double, exact boolean")
-    best = cov.groupBy("id").agg(F.max("coverage").alias("coverage"), F.max("exact").alias("exact"))
-    h = lambda c: F.unhex(F.md5(F.concat_ws("|", (F.col("id") % len(fields)) if c == "t" else F.col("f"), "text")))
-    best = texts.join(best, "id").select(h("t").alias("h"), "coverage", "exact")
-    per = rows.where("side = 2").select(h("r").alias("h"), "seq").join(best, "h").groupBy("seq").agg(F.max("coverage").alias("coverage"), F.max("exact").alias("exact"))
+    rows, texts, size = _rows(df, id_col, F.col(split), fields)
+    pairs = materialise(text_pairs(texts, threshold, len(fields), size=size), "pairs")
+    same = (F.col("a") == F.col("b")).alias("exact")
+    one = pairs.where(F.col("sa").bitwiseAND(2) * F.col("sb").bitwiseAND(1) > 0).select(F.col("a").alias("id"), F.col("ca").alias("coverage"), same)
+    two = pairs.where(F.col("sb").bitwiseAND(2) * F.col("sa").bitwiseAND(1) > 0).select(F.col("b").alias("id"), F.col("cb").alias("coverage"), same)
+    best = one.unionAll(two).groupBy("id").agg(F.max("coverage").alias("coverage"), F.max("exact").alias("exact"))
+    best = texts.join(best, "id").select(*_hash(F.col("id") % len(fields), "text"), "coverage", "exact")
+    per = rows.where("side = 2").select(*_hash(F.col("f"), "text"), "seq").join(best, ["h1", "h2"]).groupBy("seq").agg(F.max("coverage").alias("coverage"), F.max("exact").alias("exact"))
     name = F.lower(F.regexp_replace(F.col(split), r"^\s+|\s+$", ""))
     recs = df.select(F.col(id_col).cast("long").alias("seq"), name.alias("split"), "run_id").where(F.col("split").isin("dev", "test"))
     sources = F.broadcast(runs.select("run_id", "source"))  # a row per run

@@ -287,3 +287,37 @@ def test_pii(spark):
     assert "[EMAIL]" in red[10**6].text and "Golamovar" not in red[10**6].text and "5123 5719 6457" in red[10**6].text
     assert red[10**6 + 1].text is None and red[10**6 + 2].text == " " and red[10**6 + 3].mentions == 0
     assert pii.find_mentions(full.limit(0), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("even", [False, True])
+def test_cross_split_recall_by_length(spark, even):
+    """Spread one-character edits and changed words at likeness 0.70 to 0.78, texts of 61 to 400 characters."""
+    rng = random.Random(5)
+    rows, n = [], 0
+    while n < 400:
+        t = "".join(rng.choice("etaoinshrdlu  ") for _ in range(rng.choice([65, 75, 90, 105, 120, 150, 170, 200, 300, 400]))).split()
+        t = " ".join(t)
+        u = list(t)
+        if n % 3:
+            k = max(1, int(len(t) * rng.uniform(0.02, 0.07)))
+            for p in [int((i + 0.5) * len(t) / k) for i in range(k)] if even else rng.sample(range(len(t)), k):
+                u[p] = rng.choice(["q", "z", "", u[p] + "x"])
+        else:
+            p = rng.randrange(len(t) * 3 // 4)
+            u[p : p + rng.randint(3, len(t) // 5)] = "qzx"
+        u = "".join(u)
+        if 0.70 <= shingles.likeness(t, u) <= 0.78:
+            rows += [(2 * n, t, 1), (2 * n + 1, u, 2)]
+            n += 1
+    df = spark.createDataFrame(rows, "id long, text string, side int")
+    got = {(r.a, r.b) for r in cross_split.text_pairs(df).collect()}
+    assert len(got & {(2 * i, 2 * i + 1) for i in range(n)}) >= 0.99 * n
+
+
+def test_cross_split_hot_fingerprint_of_few_pairs(spark):
+    """Many train texts and one evaluation text with the same passage are joined in the first pass."""
+    head = sentences(1, 30)[0]
+    rows = [(i, head + " " + sentences(1, 3)[0], 2 if i == 7 else 1) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, text string, side int")
+    got = {(r.a, r.b) for r in cross_split.text_pairs(df, few=0).collect()}
+    assert got == {(min(i, 7), max(i, 7)) for i in range(80) if i != 7 and shingles.likeness(rows[i][1], rows[7][1]) >= 0.7}
