@@ -2,89 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sangam.functions import text as T
+from sangam.operators.components import components
+from sangam.operators.similar import similar_pairs
 from sangam.session import materialise
 
 
-def band_rows(keys: DataFrame, bands: int = 40, rows: int = 6, k: int = 4, seed: int = 42) -> DataFrame:
-    """(id, band) for keys (id, key): one hash per band of MinHash slots."""
-    rng = np.random.default_rng(seed)
-    a = (rng.integers(0, 2**32, bands * rows, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
-    b = rng.integers(0, 2**32, bands * rows, dtype=np.uint64).astype(np.uint32)[:, None]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = np.uint64(0x9E3779B97F4A7C15)
-        for batch in batches:
-            ids, out = [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.frombuffer((t or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
-                n = max(len(x) - k + 1, 1) if len(x) else 0
-                if not n:
-                    continue
-                h = np.zeros(n, np.uint64)
-                for j in range(min(k, len(x))):
-                    h = (h + x[j : j + n]) * odd
-                    h ^= h >> np.uint64(29)
-                g = np.unique((h >> np.uint64(32)).astype(np.uint32))
-                low = (a * g[None] + b).min(axis=1).reshape(bands, rows).astype(np.uint64)
-                v = np.arange(1, bands + 1, dtype=np.uint64) * odd
-                for r in range(rows):
-                    v = (v ^ low[:, r]) * odd
-                    v ^= v >> np.uint64(31)
-                ids.append(np.full(bands, i, np.int64))
-                out.append(v.view(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(out))], names=["id", "band"])
-
-    return keys.select(F.col("id").cast("long"), "key").mapInArrow(run, "id long, band long")
-
-
-def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: exact candidates among sets (id, g) of distinct n-grams, by prefix filtering.
-
-    A pair at or above the threshold shares one of the rarest ``n - ceil(t n) + 1``
-    n-grams of each side, rarity counted over these sets; common boilerplate falls out
-    of every prefix.  The join runs on the n-gram and is split by AQE where skewed.
-    """
-    flat = sets.withColumn("n", F.size("g")).select("id", "n", F.explode("g").alias("gram"))
-    df = flat.groupBy("gram").agg(F.count("*").alias("df"))
-    per = flat.join(df, "gram").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("s"))
-    keep = (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int")
-    pre = per.select("id", "n", F.explode(F.slice("s", F.lit(1), keep)).alias("x")).select("id", "n", F.col("x.gram").alias("gram"))
-    o = pre.select(F.col("id").alias("b"), F.col("n").alias("nb"), "gram")
-    fits = F.least("n", "nb") >= F.greatest("n", "nb") * F.lit(threshold) - 1e-9
-    return pre.join(o, "gram").where((F.col("id") < F.col("b")) & fits).select(F.col("id").alias("a"), "b").distinct()
-
-
 def near_pairs(keys: DataFrame, threshold: float = 0.7, across: bool = False) -> DataFrame:
     """(a, b, jaccard), a < b, of distinct keys (id, key) at or above the threshold.
 
-    All pairs of a bucket of up to 32 members are tried; the members of larger ones are
-    compared by :func:`prefix_pairs`, so none is dropped.  Pairs are verified on full
-    shingle sets.  Empty keys join nothing.  ``across``: only pairs that differ in ``side``.
+    Keys under four characters have one shingle, themselves, and are like no other key.
+    ``across``: only pairs that differ in ``side``, 1 or 2.  See :func:`similar_pairs`.
     """
-    rows = materialise(band_rows(keys), "bands")
-    hot = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    small = rows.join(hot.where("n <= 32").select("band"), "band")
-    cand = small.alias("x").join(small.alias("y"), "band").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    many = materialise(rows.join(hot.where("n > 32").select("band"), "band").select("id").distinct(), "hot")
-    sets = keys.select("id", T.shingles(F.col("key")).alias("s"), F.col("side") if across else F.lit(0).alias("side"))
-    if not many.isEmpty():
-        few = materialise(sets.join(many, "id", "left_semi").select("id", F.col("s").alias("g")), "sets")
-        cand = cand.unionAll(prefix_pairs(few, threshold))
-    both = cand.distinct().join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("side").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("side").alias("y")), "b")
-    if across:
-        both = both.where("x <> y")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    j = inter / (F.size("sa") + F.size("sb") - inter)
-    return both.select("a", "b", j.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    texts = keys.select(F.col("id").cast("long").alias("id"), F.col("key").alias("text"), *([F.col("side")] if across else []))
+    p = similar_pairs(texts, threshold, side="side" if across else None)
+    return p.withColumnRenamed("likeness", "jaccard")
 
 
 def contamination(candidates: DataFrame, splits: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -101,8 +36,8 @@ def contamination(candidates: DataFrame, splits: DataFrame, threshold: float = 0
     hits = c.join(e, "e").select("id", F.lit("exact").alias("kind"), "split").unionAll(c.join(o, "o").select("id", F.lit("other_exact").alias("kind"), "split"))
     hits = materialise(hits, "hits")
     rest = candidates.join(hits.select("id").distinct(), "id", "left_anti")
-    key = lambda df, side: df.select("id", T.dedup_key("english").alias("key")).groupBy("key").agg((F.min("id") * 2 + side).alias("id")).select("id", "key", F.lit(side).alias("side"))
-    keys = materialise(key(rest, 0).unionAll(key(splits, 1)), "keys")
+    key = lambda df, side: df.select("id", T.dedup_key("english").alias("key")).groupBy("key").agg((F.min("id") * 2 + side - 1).alias("id")).select("id", "key", F.lit(side).alias("side"))
+    keys = materialise(key(rest, 1).unionAll(key(splits, 2)), "keys")
     p = near_pairs(keys, threshold, across=True)
     odd = F.col("a") % 2 != 0
     p = p.select(F.when(odd, F.col("b")).otherwise(F.col("a")).alias("c"), F.when(odd, F.col("a")).otherwise(F.col("b")).alias("s"))
@@ -113,18 +48,9 @@ def contamination(candidates: DataFrame, splits: DataFrame, threshold: float = 0
     return hits.unionAll(near)
 
 
-def group_labels(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def group_labels(edges: DataFrame) -> DataFrame:
     """(id, label): smallest id reachable over edges (a, b); raises if it does not settle."""
-    e = materialise(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    lab = e.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label"))
-    lab = materialise(lab, "labels")
-    for _ in range(rounds):
-        near = e.join(lab.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
-        new = materialise(lab.join(near, "id").select("id", F.least("label", "m").alias("label"), F.col("label").alias("old")), "labels")
-        if new.where("label <> old").isEmpty():
-            return new.select("id", "label")
-        lab = new.select("id", "label")
-    raise RuntimeError("labels did not settle")
+    return components(edges)
 
 
 def check_degenerate(largest: int, total: int) -> None:

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sangam.operators import clean, codemix, metrics, neardup, translit
+from sangam.operators import buckets, clean, codemix, metrics, neardup, shingles, similar, translit
 from sangam.plans import reports
 from sangam.sources import readers, sinks
 from sangam.streaming.monitor import daily_counts
@@ -63,9 +63,21 @@ def test_near_pairs_of_a_template(spark):
     sets = {r.id: {r.key[i : i + 4] for i in range(len(r.key) - 3)} for r in df.collect()}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7}
     got = {(r.a, r.b) for r in neardup.near_pairs(df).collect()}
-    rows = neardup.band_rows(df).groupBy("band").count()
-    assert rows.agg(F.max("count")).first()[0] > 32 and len(want) > 300
+    texts = df.withColumnRenamed("key", "text")
+    hot = buckets.bucket_pairs(similar.band_keys(texts, shingles.MinHasher(0.7), 16), 16, 0.7).where(F.col("b") == buckets.HOT)
+    assert hot.count() > 0 and len(want) > 300
     assert got <= want and len(got) >= 0.99 * len(want)
+    assert {(r.a, r.b) for r in similar.similar_pairs(texts, cap=16).collect()} == want
+
+
+def test_every_pair_of_many_variants(spark):
+    """120 variants of one key are 7,140 pairs, though every band bucket is above its cap."""
+    rng = random.Random(8)
+    base = "the red lamp stands on the old table near the window of the house by the river and nobody minds it at all in the long winter"
+    keys = list(dict.fromkeys(base + " " + "".join(rng.choice("qxzv") for _ in range(5)) for _ in range(200)))[:120]
+    df = spark.createDataFrame(list(enumerate(keys)), "id long, key string")
+    got = {(r.a, r.b) for r in neardup.near_pairs(df).collect()}
+    assert got == {(a, b) for a in range(120) for b in range(a + 1, 120)}
 
 
 def test_contamination_by_key_other_side_and_nearness(spark):
