@@ -15,14 +15,14 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sangam.functions.text import folded
-from sangam.llm.buckets import HOT, bucket_pairs
-from sangam.llm.near_duplicates import band_keys, prefix_pairs
-from sangam.llm.shingles import Checker, MinHasher, mix64, winnow
+from sangam.operators.buckets import HOT, bucket_pairs
+from sangam.operators.shingles import Checker, MinHasher, mix64, winnow
+from sangam.operators.similar import band_keys, gram_sets, prefix_pairs
 from sangam.session import materialise
 
 GRAM, WINDOW = 16, 20
-CAP = 256  # cross-split pairs one fingerprint may give; hotter ones are not paired
-FEW = 8  # a text with fewer cold fingerprints is compared by MinHash bands too
+CAP = 512  # cross-split pairs one fingerprint may give; hotter ones are not paired
+FEW = 8  # a text with fewer cold fingerprints, or less than half of its own, is compared by MinHash bands too
 SHORT = 160  # texts up to so many characters have too few windows: their MinHash bands are keys instead
 LONG_FROM = 110  # at likeness 0.7 no text above SHORT meets one under this
 BLOCK_TEXTS = 256  # texts fingerprinted at a time: the arrays stay in the processor's cache
@@ -30,6 +30,7 @@ BLOCK_ROWS = 1_000_000
 BLOCK_HOT = 1024  # texts of one block a fingerprint may stand in before its members go the other way
 ROWS_A_TASK = 1_500_000
 _MARK, _BOTH, _EVAL, _TRAIN, _COUNT = range(5)  # what a keyed row is, in the order of a group
+_ZERO = _COUNT + (1 << 24)  # a count of nothing; what a text has too few of is below it
 _CLASS = np.array([_COUNT, _TRAIN, _EVAL, _BOTH])  # by side
 _KEYED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("m", pa.int32())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32())])
@@ -38,7 +39,8 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32())])
 def _block(key: np.ndarray, id_: np.ndarray, m: np.ndarray, short: np.ndarray, few: int) -> pa.RecordBatch:
     """Keyed rows of many texts; a key of very many becomes a marker, each text's others are counted.
 
-    A short text starts from ``few``, so one hot key of its bands sends it the other way.
+    A count is of cold keys beyond those a text must keep: ``few``, or half of them, or all of
+    them if it is short and its keys are bands.
     """
     order = np.argsort(key, kind="stable")
     key, id_, m, short = key[order], id_[order], m[order], short[order]
@@ -47,13 +49,14 @@ def _block(key: np.ndarray, id_: np.ndarray, m: np.ndarray, short: np.ndarray, f
     hot = np.repeat(size > BLOCK_HOT, size)
     mark = key[first[size > BLOCK_HOT]]
     ids, head, at = np.unique(id_, return_index=True, return_inverse=True)
-    cold = np.bincount(at[~hot], minlength=len(ids))
-    cold = np.where(short[head], np.maximum(few - np.bincount(at[hot], minlength=len(ids)), 0), cold).astype(np.int32)
+    every, lost = np.bincount(at, minlength=len(ids)), np.bincount(at[hot], minlength=len(ids))
+    spare = np.where(short[head], 0, np.minimum(every - few, every // 2)) - lost
+    count = np.maximum(_ZERO + spare, _COUNT).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.concatenate((mark, key[~hot], mix64(ids.astype(np.uint64)).view(np.int64)))),
             pa.array(np.concatenate((np.zeros(len(mark), np.int64), id_[~hot], ids))),
-            pa.array(np.concatenate((np.full(len(mark), _MARK, np.int32), m[~hot], _COUNT + cold))),
+            pa.array(np.concatenate((np.full(len(mark), _MARK, np.int32), m[~hot], count))),
         ],
         schema=_KEYED,
     )
@@ -105,7 +108,7 @@ def _cross(key: np.ndarray, id_: np.ndarray, m: np.ndarray, cap: int) -> Iterato
     """Cross-split pairs of whole groups in key order, members of hot groups, and counts."""
     count = m >= _COUNT
     if count.any():
-        yield _out(id_[count], np.full(count.sum(), HOT), m[count] - _COUNT)
+        yield _out(id_[count], np.full(count.sum(), HOT), m[count] - _ZERO)
         key, id_, m = key[~count], id_[~count], m[~count]
     if not len(key):
         return
@@ -242,8 +245,9 @@ def text_pairs(texts: DataFrame, threshold: float = 0.7, fields: int = 1, k: int
     Pairs sharing two winnowed fingerprints are candidates, checked by likeness; ``ca`` and
     ``cb`` are the shares of the two texts that their chained seeds cover.  A fingerprint
     that would give more than ``cap`` cross-split pairs is hot and gives none; a text left with
-    fewer than ``few`` others is compared with the like by MinHash bands, and what is hot there
-    too by exact prefix filtering.  So is any pair of texts up to SHORT characters, by bands
+    fewer than ``few`` others, or less than half of its own, is compared with the like by MinHash
+    bands, and what is hot there too by exact prefix filtering: where most of what two like texts
+    share is hot, most of each is.  So is any pair of texts up to SHORT characters, by bands
     in place of fingerprints.  Only texts of one field, the remainder of the id by
     ``fields``, are compared.  ``size``: characters of all texts, if known, for the number of tasks.
     """
@@ -252,7 +256,7 @@ def text_pairs(texts: DataFrame, threshold: float = 0.7, fields: int = 1, k: int
     tasks = max(default, size * 2 // (w + 1) // ROWS_A_TASK)
     keyed = _fingerprints(texts, threshold, fields, k, w, few).repartition(tasks, "key").sortWithinPartitions("key", "m")
     out = keyed.mapInArrow(_reducer(cap), "a long, b long, c int").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    wanted = ((F.col("b") != HOT) & (F.col("c") >= 2)) | ((F.col("b") == HOT) & (F.col("c") < few))
+    wanted = ((F.col("b") != HOT) & (F.col("c") >= 2)) | ((F.col("b") == HOT) & (F.col("c") < 0))
     out = materialise(out.where(wanted).select("a", "b"), "seeds")
     hot = out.where(F.col("b") == HOT).select(F.col("a").alias("id"))  # one row per id after the sum
     cand = out.where(F.col("b") != HOT)
@@ -263,8 +267,7 @@ def text_pairs(texts: DataFrame, threshold: float = 0.7, fields: int = 1, k: int
         still = again.where(F.col("b") == HOT).select(F.col("a").alias("id"))
         more = again.where(F.col("b") != HOT)
         if not still.isEmpty():
-            few_texts = materialise(dull.join(still, "id", "left_semi"), "hot")  # written, or n-grams are made of all texts before the join
-            more = more.unionByName(prefix_pairs(few_texts, threshold))
+            more = more.unionByName(prefix_pairs(gram_sets(dull.join(still, "id", "left_semi")), threshold))
         cand = cand.unionByName(more.where(F.col("a") % fields == F.col("b") % fields)).distinct()
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("side").alias("sa"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("side").alias("sb"))

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sangam.llm import boosting, buckets, components, cross_split, format_duplicates, grouped_splits, mixing, near_duplicates, packing, pair_defects, pii, shingles, term_counts, tokens
+from sangam.llm import boosting, cross_split, format_duplicates, grouped_splits, mixing, near_duplicates, packing, pair_defects, pii, term_counts, tokens
+from sangam.operators import buckets, components, shingles, similar
 
 RNG = random.Random(4)
 VOCAB = ["".join(RNG.choice("abcdefghijklmnop") for _ in range(RNG.randint(3, 9))) for _ in range(300)]
@@ -67,7 +68,7 @@ def test_near_duplicates(spark, cap):
     base = sentences(40)
     texts = dict(enumerate(base + [edited(t) for t in base[:15]] + [edited(base[0]) for _ in range(12)] + ["", "abc"]))
     df = spark.createDataFrame(list(texts.items()), "id long, text string")
-    got = {(r.a, r.b) for r in near_duplicates.similar_pairs(df.dropDuplicates(["text"]), 0.7, cap=cap).collect()}
+    got = {(r.a, r.b) for r in similar.similar_pairs(df.dropDuplicates(["text"]), 0.7, cap=cap).collect()}
     kept = {r.id: r.text for r in df.dropDuplicates(["text"]).collect()}
     want = {(a, b) for a in kept for b in kept if a < b and shingles.likeness(kept[a], kept[b]) >= 0.7}
     assert len(want) > 20 and len(got - want) == 0 and len(want - got) <= 0.02 * len(want)
