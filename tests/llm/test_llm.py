@@ -209,6 +209,28 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), specs).count() == 0
 
 
+def test_bin_completion_against_brute_force():
+    def fewest(items, cap):
+        best = [(99, 0)] * (1 << len(items))  # by set of items: containers, fill of the last
+        best[0] = (1, 0)
+        for m, (b, fill) in ((m, best[m]) for m in range(1 << len(items))):
+            for i, x in enumerate(items):
+                if not m >> i & 1:
+                    best[m | 1 << i] = min(best[m | 1 << i], (b, fill + x) if fill + x <= cap else (b + 1, x))
+        return best[-1][0]
+
+    rng = random.Random(2)
+    for _ in range(300):
+        items = [rng.randint(5, 70) for _ in range(rng.randint(1, 10))]
+        got = packing.complete_bins(items, 100)
+        assert sorted(x for b in got for x in b) == sorted(items) and max(map(sum, got)) <= 100
+        want = fewest(items, 100)
+        assert packing.lower_bound(items, 100) <= want == len(got)
+    assert len(packing.complete_bins([55, 49, 46, 32, 30, 25, 23, 22, 15], 100)) == 3
+    assert len(packing.complete_bins([3] * 4000, 4000)) == 4 and packing.complete_bins([], 10) == []
+    assert len(packing.complete_bins([1] * 5000, 5000)) == 1 and len(packing.complete_bins([7] * 9, 7)) == 9
+
+
 def test_mixing(spark):
     for _ in range(50):
         counts = {RNG.randint(1, 40): RNG.randint(1, 5) for _ in range(6)}
