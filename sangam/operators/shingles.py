@@ -66,6 +66,26 @@ class Checker:
         return v if v >= self.t - 1e-9 else 0.0
 
 
+def screen(xs: list[str], ys: list[str], threshold: float, k: int = 4, bits: int = 2048, chunk: int = 128) -> np.ndarray:
+    """Which pairs may reach the threshold, by bitmaps of their hashed n-grams.  None that does is left out.
+
+    Two texts share at most the bits they share and the n-grams of one that fall on a bit
+    together; the n-grams either has are at least its bits.
+    """
+    out = np.empty(len(xs), bool)
+    for s in range(0, len(xs), chunk):
+        texts = xs[s : s + chunk] + ys[s : s + chunk]
+        starts, h = gram_hashes(texts, k)
+        n, m = np.diff(starts), len(texts) // 2
+        flat = np.zeros(len(texts) * bits, np.uint8)
+        flat[np.repeat(np.arange(len(texts)) * bits, n) + (h & np.uint32(bits - 1))] = 1
+        words = np.packbits(flat).reshape(len(texts), -1).view(np.uint64)
+        own = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+        both = np.bitwise_count(words[:m] & words[m:]).sum(axis=1, dtype=np.int64) + np.minimum((n - own)[:m], (n - own)[m:])
+        out[s : s + chunk] = both >= threshold / (1 + threshold) * (own[:m] + own[m:]) - 1e-6
+    return out
+
+
 def bands_for(threshold: float, rows: int, recall: float) -> int:
     """The fewest bands that find a pair exactly at the threshold with probability ``recall``."""
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sangam.operators.buckets import HOT, KEYED, bucket_pairs, keyed_batch
-from sangam.operators.shingles import Checker, MinHasher, gram_set
+from sangam.operators.shingles import Checker, MinHasher, gram_set, screen
 from sangam.session import materialise
 
 BUCKET_CAP = 64
@@ -77,7 +77,10 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, k: int = 4) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check = Checker(threshold, k)
         for batch in batches:
-            s = np.array([check(p, q) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], dtype=np.float64)
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            s = np.zeros(len(x))
+            for i in np.flatnonzero(screen(x, y, threshold, k)):
+                s[i] = check(x[i], y[i])
             ok = s > 0
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(s[ok])], names=["a", "b", "likeness"])

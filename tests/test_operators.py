@@ -188,3 +188,13 @@ def test_stream_equals_table(spark, tmp_path):
     q.stop()
     key = lambda d: sorted((r.day, r.n, r.total) for r in d.collect())
     assert key(spark.table("daily")) == key(daily_counts(df))
+
+
+def test_screen_leaves_no_pair_out():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 8)))
+    xs = [" ".join(word() for _ in range(rng.randint(0, 900 if i % 50 == 0 else 40))) for i in range(400)]
+    ys = [" ".join(w for w in x.split() if rng.random() > 0.06) if i % 2 else rng.choice(xs) for i, x in enumerate(xs)]
+    kept = shingles.screen(xs, ys, 0.7)
+    alike = [shingles.likeness(x, y) >= 0.7 for x, y in zip(xs, ys)]
+    assert all(k for k, a in zip(kept, alike) if a) and sum(alike) > 100 and sum(kept) < 1.2 * sum(alike) + 20
