@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sangam.functions.text import folded
 from sangam.operators.buckets import HOT, bucket_pairs
-from sangam.operators.shingles import Checker, MinHasher, mix64, winnow
+from sangam.operators.shingles import Checker, MinHasher, mix64, screen, winnow
 from sangam.operators.similar import band_keys, gram_sets, prefix_pairs
 from sangam.session import materialise
 
@@ -278,7 +278,7 @@ def text_pairs(texts: DataFrame, threshold: float = 0.7, fields: int = 1, k: int
         check = Checker(threshold)
         for batch in batches:
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            at = [i for i, (p, q) in enumerate(zip(x, y)) if check(p, q) > 0]
+            at = [int(i) for i in np.flatnonzero(screen(x, y, threshold)) if check(x[i], y[i]) > 0]
             seeds = seeds_of([t for i in at for t in (x[i], y[i])], k, w)
             ca = [chained(x[i], y[i], seeds[2 * n], seeds[2 * n + 1], k) / len(x[i]) for n, i in enumerate(at)]
             cb = [chained(y[i], x[i], seeds[2 * n + 1], seeds[2 * n], k) / len(y[i]) for n, i in enumerate(at)]

@@ -92,6 +92,11 @@ def p2_terms(spark: SparkSession, sf: str) -> DataFrame:
     return term_counts.marked_terms(table(spark, sf, "transformed_records"), "hinglish", "record_id").drop("n")
 
 
+def p2_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    """Every run of one to three words that is not rare, with its counts and its mark."""
+    return term_counts.marked_terms(table(spark, sf, "transformed_records"), "hinglish", "record_id", 3).where("mark is null or mark = 'common'")
+
+
 def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
     """The split every record is dealt to, stratified by the source of its run."""
     t, runs = table(spark, sf, "prepared_records"), table(spark, sf, "pipeline_runs").select("run_id", "source")
@@ -113,7 +118,7 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_coverage, p1_report, p2_found, p2_terms, p3_found, p3_splits, p4_found, p5_found, p5_collapsed, p6_found, p6_groups, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_coverage, p1_report, p2_found, p2_terms, p2_ngrams, p3_found, p3_splits, p4_found, p5_found, p5_collapsed, p6_found, p6_groups, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_redacted)}
 
 
 FOLD = r"trim(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
@@ -127,6 +132,10 @@ def _grams(source: str) -> str:
     )
 
 
+_TERMS = (
+    "WITH r AS (SELECT record_id, min(" + FOLD.format("hinglish") + ") AS t FROM transformed_records GROUP BY record_id), "
+    "w AS (SELECT record_id, unnest(string_split(t, ' ')) AS term FROM r WHERE t <> ''), "
+)
 _ALIKE = (
     "SELECT a.id AS x, b.id AS y, count(*) AS c, any_value(p.n) AS nx, any_value(q.n) AS ny "
     "FROM grams a JOIN grams b ON a.g = b.g AND a.id < b.id JOIN sizes p ON p.id = a.id JOIN sizes q ON q.id = b.id "
@@ -150,11 +159,19 @@ def oracle_sql() -> dict[str, str]:
             "FROM links JOIN m p ON p.id = links.x JOIN m q ON q.id = links.y WHERE p.side = 1 AND q.side = 2 AND p.f = q.f"
         ),
         "p2_found": (
-            "WITH r AS (SELECT record_id, min(" + FOLD.format("hinglish") + ") AS t FROM transformed_records GROUP BY record_id), "
-            "w AS (SELECT record_id, unnest(string_split(t, ' ')) AS term FROM r WHERE t <> ''), "
-            "c AS (SELECT term, count(DISTINCT record_id) AS n FROM w GROUP BY term) "
+            _TERMS + "c AS (SELECT term, count(DISTINCT record_id) AS n FROM w GROUP BY term) "
             "SELECT term, CASE WHEN n <= 2 THEN 'rare' ELSE 'common' END AS mark FROM c WHERE n <= 2 OR n > 0.15 * (SELECT count(*) FROM r)"
         ),
+        "p2_terms": (
+            _TERMS + "c AS (SELECT term, count(*) AS occurrences, count(DISTINCT record_id) AS records FROM w GROUP BY term) "
+            "SELECT term, occurrences, records, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.15 * (SELECT count(*) FROM r) THEN 'common' END AS mark FROM c"
+        ),
+        "p2_ngrams": (
+            _TERMS + "s AS (SELECT record_id, string_split(t, ' ') AS l FROM r WHERE t <> ''), "
+            "g AS (SELECT record_id, n, array_to_string(l[CAST(i AS INT):CAST(i + n - 1 AS INT)], ' ') AS term FROM s, range(1, 4) AS k(n), range(1, len(l) - n + 2) AS p(i)), "
+            "c AS (SELECT CAST(n AS INT) AS n, term, count(*) AS occurrences, count(DISTINCT record_id) AS records FROM g GROUP BY ALL HAVING count(DISTINCT record_id) > 2) "
+            "SELECT n, term, occurrences, records, CASE WHEN records > 0.15 * (SELECT count(*) FROM r) THEN 'common' END AS mark FROM c"
+        ),
         "p3_found": (
             "WITH RECURSIVE r AS (SELECT seq, lower(trim(group_id)) AS g, " + FOLD.format("english") + " AS e FROM prepared_records), "
             "m AS (SELECT seq, CASE WHEN g IS NULL THEN min(seq) OVER (PARTITION BY e) ELSE min(seq) OVER (PARTITION BY g) END AS a, min(seq) OVER (PARTITION BY e) AS b FROM r), "

@@ -16,35 +16,44 @@ BLOCK_TOKENS = 1_000_000
 _COUNTS = pa.schema([("n", pa.int32()), ("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
 
 
-def suffix_array(ids: np.ndarray, rec: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of a token sequence, sorted to ``depth`` tokens, and its LCP array.
+def suffix_array(ids: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of a token sequence and its common-prefix array, both to full length.
 
     ``ids``: token numbers from 1; ``rec``: the record of each token.  A suffix ends with
-    its record.  ``lcp[i]`` is the common prefix of suffixes i-1 and i, up to depth.
+    its record.  ``lcp[i]`` is the common prefix of suffixes i-1 and i.  Prefix doubling:
+    the ranks of every length 2^k are kept, and the common prefix is put together from them.
     """
     n = len(ids)
-    rank = ids.astype(np.int64)
-    have = 1
-    while have < depth:  # prefix doubling; rank 0 stands for the end of the record
-        step = min(have, depth - have)
-        nxt = np.zeros(n, np.int64)
-        same = rec[step:] == rec[:-step]
-        nxt[:-step] = np.where(same, rank[step:], 0)
-        rank = np.unique(rank * (rank.max() + 1) + nxt, return_inverse=True)[1].astype(np.int64) + 1
-        have += step
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    last = np.append(np.flatnonzero(rec[1:] != rec[:-1]), n - 1)
+    end = np.repeat(last + 1, np.diff(last, prepend=-1))
+    rank = np.unique(ids, return_inverse=True)[1].astype(np.int64) + 1
+    ranks, step = [rank], 1
+    while step < (end - np.arange(n)).max():
+        nxt = np.zeros(n, np.int64)  # rank 0 stands for the end of the record
+        nxt[:-step] = np.where(rec[step:] == rec[:-step], rank[step:], 0)
+        new = np.unique(rank * (rank.max() + 1) + nxt, return_inverse=True)[1].astype(np.int64) + 1
+        settled = new.max() == rank.max()
+        rank = new
+        if settled:  # suffixes of one rank are the same to their end
+            break
+        ranks.append(rank)
+        step *= 2
     sa = np.argsort(rank, kind="stable")
-    lcp = np.zeros(n, np.int64)
     a, b = sa[:-1], sa[1:]
-    alive = np.ones(max(n - 1, 0), bool)
-    for d in range(depth):
-        ok = (a + d < n) & (b + d < n)
-        x, y = np.minimum(a + d, n - 1), np.minimum(b + d, n - 1)
-        alive &= ok & (ids[x] == ids[y]) & (rec[x] == rec[a]) & (rec[y] == rec[b])
-        lcp[1:] += alive
-    return sa, lcp
-
-
-def interval_counts(sa: np.ndarray, lcp: np.ndarray, rec: np.ndarray, depth: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    same = rank[a] == rank[b]
+    l = np.where(same, end[a] - a, 0)  # noqa: E741
+    for k in range(len(ranks) - 1, -1, -1):
+        x, y = a + l, b + l
+        inside = ~same & (x < end[a]) & (y < end[b])
+        x, y = np.minimum(x, n - 1), np.minimum(y, n - 1)
+        eq = inside & (ranks[k][x] == ranks[k][y])
+        l = l + np.where(eq, np.minimum(1 << k, end[a] - x), 0)  # noqa: E741
+    return sa, np.concatenate((np.zeros(1, np.int64), l))
+
+
+def interval_counts(sa: np.ndarray, lcp: np.ndarray, rec: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a suffix start, occurrences, records) of every n-gram, one per common-prefix interval.
 
     Records are occurrences less the within-record adjacencies: for each suffix the last
@@ -75,16 +84,20 @@ def _batch(out: pd.DataFrame) -> pa.RecordBatch:
 
 
 def block_counts(texts: list[str], max_n: int) -> Iterator[pd.DataFrame]:
-    """Counts of the n-grams of one block of whole records; records never span blocks."""
+    """Counts of the n-grams of one block of whole records; records never span blocks.
+
+    All lengths are read from one suffix array: an n-gram is a run of suffixes whose
+    neighbours have n tokens or more in common.
+    """
     words = [t.split(" ") for t in texts if t]
     if not words:
         return
     rec = np.repeat(np.arange(len(words)), [len(w) for w in words])
     flat = np.array([x for w in words for x in w], dtype=object)
     ids, vocab = pd.factorize(flat)
-    sa, lcp = suffix_array(ids + 1, rec, max_n)
+    sa, lcp = suffix_array(ids + 1, rec)
     for n in range(1, max_n + 1):
-        at, occ, recs = interval_counts(sa, lcp, rec, max_n, n)
+        at, occ, recs = interval_counts(sa, lcp, rec, n)
         if n == 1:
             terms = flat[at]
         else:
