@@ -98,7 +98,7 @@ class MinHasher:
     recall wanted for a pair exactly at the threshold.
     """
 
-    def __init__(self, threshold: float = 0.7, rows: int = 5, recall: float = 0.9995, k: int = 4, seed: int = 7):
+    def __init__(self, threshold: float = 0.7, rows: int = 6, recall: float = 0.9995, k: int = 4, seed: int = 7):
         self.k, self.rows, self.bands = k, rows, bands_for(threshold, rows, recall)
         rng = np.random.default_rng(seed)
         m = self.rows * self.bands

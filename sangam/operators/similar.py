@@ -13,7 +13,8 @@ from sangam.operators.buckets import HOT, KEYED, bucket_pairs, keyed_batch
 from sangam.operators.shingles import Checker, MinHasher, gram_set, screen
 from sangam.session import materialise
 
-BUCKET_CAP = 64
+BUCKET_CAP = 256
+MOST_ROWS = 14
 BLOCK_ROWS = 1_000_000
 BLOCK_TEXTS = 256
 
@@ -90,24 +91,38 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, k: int = 4) ->
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, likeness double")
 
 
-def similar_pairs(texts: DataFrame, threshold: float = 0.7, rows: int = 5, recall: float = 0.9995, cap: int = BUCKET_CAP, k: int = 4, side: str | None = None) -> DataFrame:
-    """(a, b, likeness), a < b: texts (id, text; unique ids) whose likeness reaches the threshold.
+def candidates(texts: DataFrame, threshold: float, rows: int, recall: float, cap: int, k: int = 4, side: str | None = None) -> DataFrame:
+    """(a, b), a < b: distinct pairs of texts (id, text) that share a band, as :func:`similar_pairs` checks them.
 
-    Null and empty texts, and texts shorter than ``k``, have no n-grams and join nothing.
-    Equal texts under two ids are a pair of likeness 1.  The number of bands follows from
-    ``recall``, that of a pair exactly at the threshold.  Members of band buckets above
-    ``cap`` are compared by prefix filtering, exactly, so none is dropped.  ``side``: a
-    column of 1 and 2; only texts of different sides are compared.
+    Texts of a bucket above ``cap`` are banded anew by themselves with half as many rows again,
+    which only likes share, up to MOST_ROWS; what is hot even then is paired by prefix
+    filtering, exactly.  So no bucket is ever paired whole in one task, and none is dropped.
     """
     texts = texts.where(F.length("text") >= k)
     out = bucket_pairs(band_keys(texts, MinHasher(threshold, rows, recall, k), cap, side), cap, threshold, cross=side is not None)
     out = materialise(out.select("a", "b").distinct(), "bands")
     pairs = out.where(F.col("b") != HOT)
     hot = out.where(F.col("b") == HOT).select(F.col("a").alias("id"))
-    if not hot.isEmpty():
-        more = prefix_pairs(gram_sets(texts.join(hot, "id", "left_semi"), k), threshold)
-        if side:
-            s = texts.select("id", side)
-            more = more.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").where("sa <> sb").select("a", "b")
-        pairs = pairs.unionByName(more).distinct()
-    return verify(pairs, texts, threshold, k)
+    if hot.isEmpty():
+        return pairs
+    few = materialise(texts.join(hot, "id", "left_semi"), "hot")
+    if rows + rows // 2 <= MOST_ROWS:
+        return pairs.unionByName(candidates(few, threshold, rows + rows // 2, recall, cap, k, side)).distinct()
+    more = prefix_pairs(gram_sets(few, k), threshold)
+    if side:
+        s = few.select("id", side)
+        bits = F.col("sa").bitwiseAND(1) * F.col("sb").bitwiseAND(2) + F.col("sa").bitwiseAND(2) * F.col("sb").bitwiseAND(1)
+        more = more.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").where(bits > 0).select("a", "b")
+    return pairs.unionByName(more).distinct()
+
+
+def similar_pairs(texts: DataFrame, threshold: float = 0.7, rows: int = 6, recall: float = 0.9995, cap: int = BUCKET_CAP, k: int = 4, side: str | None = None) -> DataFrame:
+    """(a, b, likeness), a < b: texts (id, text; unique ids) whose likeness reaches the threshold.
+
+    Null and empty texts, and texts shorter than ``k``, have no n-grams and join nothing.
+    Equal texts under two ids are a pair of likeness 1.  The number of bands follows from
+    ``recall``, that of a pair exactly at the threshold.  See :func:`candidates` for band
+    buckets above ``cap``.  ``side``: a column of bits 1 and 2; only texts of which one has
+    bit 1 and the other bit 2 are compared.
+    """
+    return verify(candidates(texts, threshold, rows, recall, cap, k, side), texts, threshold, k)
