@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sangam.functions.text import folded
-from sangam.operators.buckets import HOT, bucket_pairs
+from sangam.operators.buckets import HOT
 from sangam.operators.shingles import Checker, MinHasher, mix64, screen, winnow
-from sangam.operators.similar import band_keys, gram_sets, prefix_pairs
+from sangam.operators.similar import candidates
 from sangam.session import materialise
 
 GRAM, WINDOW = 16, 20
 CAP = 512  # cross-split pairs one fingerprint may give; hotter ones are not paired
+BAND_ROWS, BAND_RECALL = 5, 0.998  # of texts compared by MinHash bands
 FEW = 8  # a text with fewer cold fingerprints, or less than half of its own, is compared by MinHash bands too
 SHORT = 160  # texts up to so many characters have too few windows: their MinHash bands are keys instead
 LONG_FROM = 110  # at likeness 0.7 no text above SHORT meets one under this
@@ -63,7 +64,7 @@ def _block(key: np.ndarray, id_: np.ndarray, m: np.ndarray, short: np.ndarray, f
 
 
 def _fingerprints(texts: DataFrame, threshold: float, fields: int, k: int, w: int, few: int) -> DataFrame:
-    hasher = MinHasher(threshold)
+    hasher = MinHasher(threshold, BAND_ROWS, BAND_RECALL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, rows = [], 0
@@ -246,7 +247,7 @@ def text_pairs(texts: DataFrame, threshold: float = 0.7, fields: int = 1, k: int
     ``cb`` are the shares of the two texts that their chained seeds cover.  A fingerprint
     that would give more than ``cap`` cross-split pairs is hot and gives none; a text left with
     fewer than ``few`` others, or less than half of its own, is compared with the like by MinHash
-    bands, and what is hot there too by exact prefix filtering: where most of what two like texts
+    bands (:func:`candidates`, which drops no hot bucket): where most of what two like texts
     share is hot, most of each is.  So is any pair of texts up to SHORT characters, by bands
     in place of fingerprints.  Only texts of one field, the remainder of the id by
     ``fields``, are compared.  ``size``: characters of all texts, if known, for the number of tasks.
@@ -262,12 +263,7 @@ def text_pairs(texts: DataFrame, threshold: float = 0.7, fields: int = 1, k: int
     cand = out.where(F.col("b") != HOT)
     if not hot.isEmpty():
         dull = materialise(texts.join(hot, "id", "left_semi").select("id", "text", "side"), "boilerplate")
-        again = bucket_pairs(band_keys(dull, MinHasher(threshold), 32, "side"), 32, threshold, cross=True)
-        again = materialise(again.select("a", "b").distinct(), "bands")
-        still = again.where(F.col("b") == HOT).select(F.col("a").alias("id"))
-        more = again.where(F.col("b") != HOT)
-        if not still.isEmpty():
-            more = more.unionByName(prefix_pairs(gram_sets(dull.join(still, "id", "left_semi")), threshold))
+        more = candidates(dull, threshold, BAND_ROWS, BAND_RECALL, cap // 4, side="side")
         cand = cand.unionByName(more.where(F.col("a") % fields == F.col("b") % fields)).distinct()
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("side").alias("sa"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("side").alias("sb"))
