@@ -344,3 +344,29 @@ def test_cross_split_hot_fingerprint_of_few_pairs(spark):
     df = spark.createDataFrame(rows, "id long, text string, side int")
     got = {(r.a, r.b) for r in cross_split.text_pairs(df, few=0).collect()}
     assert got == {(min(i, 7), max(i, 7)) for i in range(80) if i != 7 and shingles.likeness(rows[i][1], rows[7][1]) >= 0.7}
+
+
+def test_copies_of_every_length():
+    rng = random.Random(3)
+    for n in range(3, 25):
+        for _ in range(40):
+            p = "".join(rng.choice("abcdefghijklmnoprstuw") for _ in range(n))
+            assert pair_defects.is_copy(p, p) and pair_defects.is_copy(p, p * 2)
+            assert n < 8 or pair_defects.is_copy(p, "translation" + p)
+            assert not pair_defects.is_copy(p, "".join(rng.choice("xyzqvk") for _ in range(n)))
+    m = pair_defects.fit([])
+    assert m.label("I am at home.", "i am at home") == "copy" and m.label("", "x y z") != "copy"
+
+
+def test_refusals_of_other_wording():
+    for t in ("As an AI language model, I can't do that", "I'd rather not translate this", "this goes against my guidelines", "Yeh anuvad mujhse nahi hoga", "I cannot translate this sentence."):
+        assert pair_defects.is_refusal(t), t
+    for t in ("He said he can't help her with the question of the day", "main aaj market nahi ja sakta", "sorry, Raju cannot repair the drum", "mera number yeh hai", "woh team ke rules ke khilaaf khela"):
+        assert not pair_defects.is_refusal(t), t
+
+
+def test_case_that_changes_late():
+    m = pii.fit(["My name is Ramesh Gupta."])
+    text = "lower case only here. " * 40 + "Then Kavita Sharma came"
+    assert all(s.x[6] == 0.0 for s in m.spans(text) if s.kind == "name")
+    assert [s.kind for s in m.spans("45, MG Road, Pune 411001")][:1] == ["address"]
