@@ -14,64 +14,70 @@ def leaf(x: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(x.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+", "")
 
 
-def digest(x: Column, kind: T.DataType) -> Column:
-    """Bottom-up digest: leaves hash their normal form; structs, maps and arrays hash the
-    sorted digests of their children, so the order of fields and items does not matter."""
+def _kids(x: Column, kind: T.DataType, unordered: bool, each) -> tuple[Column, bool] | None:
+    """A node's children by ``each``, and whether their order says nothing; None for a leaf."""
     if isinstance(kind, T.StructType):
-        kids = F.array(*[digest(x.getField(f.name), f.dataType) for f in kind.fields])
-        return F.md5(F.array_join(F.array_sort(kids), "|"))
+        return F.array(*[each(x.getField(f.name), f.dataType) for f in kind.fields]), True
     if isinstance(kind, T.ArrayType):
-        kids = F.transform(F.coalesce(x, F.array().cast(kind)), lambda v: digest(v, kind.elementType))
-        return F.md5(F.array_join(F.array_sort(kids), "|"))
+        return F.transform(F.coalesce(x, F.array().cast(kind)), lambda v: each(v, kind.elementType)), unordered
     if isinstance(kind, T.MapType):
-        kids = F.transform(F.map_entries(F.coalesce(x, F.create_map().cast(kind))), lambda v: F.md5(F.concat(digest(v["key"], kind.keyType), digest(v["value"], kind.valueType))))
-        return F.md5(F.array_join(F.array_sort(kids), "|"))
-    return F.md5(leaf(x))
+        entries = F.map_entries(F.coalesce(x, F.create_map().cast(kind)))
+        return F.transform(entries, lambda v: F.concat(each(v["key"], kind.keyType), F.lit("="), each(v["value"], kind.valueType))), True
+    return None
 
 
-def canonical(x: Column, kind: T.DataType) -> Column:
-    """The whole normal form as text, children sorted: what a digest stands for."""
-    if isinstance(kind, T.StructType):
-        kids = F.array(*[canonical(x.getField(f.name), f.dataType) for f in kind.fields])
-    elif isinstance(kind, T.ArrayType):
-        kids = F.transform(F.coalesce(x, F.array().cast(kind)), lambda v: canonical(v, kind.elementType))
-    elif isinstance(kind, T.MapType):
-        kids = F.transform(F.map_entries(F.coalesce(x, F.create_map().cast(kind))), lambda v: F.concat(canonical(v["key"], kind.keyType), F.lit("="), canonical(v["value"], kind.valueType)))
-    else:
-        return leaf(x)
-    return F.concat(F.lit("("), F.array_join(F.array_sort(kids), ","), F.lit(")"))
+def digest(x: Column, kind: T.DataType, unordered: bool = False) -> Column:
+    """Bottom-up digest: leaves hash their normal form, structs and maps the sorted digests of
+    their children, arrays theirs in order, or sorted too if ``unordered``."""
+    kids = _kids(x, kind, unordered, lambda v, t: digest(v, t, unordered))
+    return F.md5(leaf(x)) if kids is None else F.md5(F.array_join(F.array_sort(kids[0]) if kids[1] else kids[0], "|"))
 
 
-def copies(df: DataFrame, fields: list[str], id_col: str) -> DataFrame:
-    """(keep, copy): one row for each record but the smallest id of its set.
+def canonical(x: Column, kind: T.DataType, unordered: bool = False) -> Column:
+    """The whole normal form as text, children in the order digested: what a digest stands for."""
+    kids = _kids(x, kind, unordered, lambda v, t: canonical(v, t, unordered))
+    return leaf(x) if kids is None else F.concat(F.lit("("), F.array_join(F.array_sort(kids[0]) if kids[1] else kids[0], ","), F.lit(")"))
 
-    Records are the same when the unordered set of their normalised fields is equal.
-    Digests are aggregated first (16 bytes a row, combined on the map side); only records
-    of a digest seen twice meet their keeper's text, in a join whose hot digests AQE
-    splits, since each digest has one keeper.  A pair of equal digests and unequal
-    structure would be regrouped by its full form.  Null and empty fields are the same
-    leaf.  Ids must be unique; extra columns are not read.
-    """
+
+def _roots(df: DataFrame, fields: list[str], id_col: str, unordered: bool) -> tuple[DataFrame, DataFrame]:
+    """Written (id, root) of every record, and the lazy (id, form)."""
     kind = T.StructType([df.schema[f] for f in fields])
-    rec = F.struct(*[F.col(f) for f in fields])
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.unhex(digest(rec, kind)).alias("root"), canonical(rec, kind).alias("form"))
-    sets = rows.groupBy("root").agg(F.min("id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("root", "keep")
-    keepers = rows.select(F.col("id").alias("keep"), F.col("form").alias("keep_form")).join(sets, "keep")
+    rec, id_ = F.struct(*[F.col(f) for f in fields]), F.col(id_col).cast("long").alias("id")
+    roots = materialise(df.select(id_, F.unhex(digest(rec, kind, unordered)).alias("root")), "roots")
+    return roots, df.select(id_, canonical(rec, kind, unordered).alias("form"))
+
+
+def _copies(roots: DataFrame, forms: DataFrame) -> DataFrame:
+    sets = roots.groupBy("root").agg(F.min("id").alias("keep"), F.count("*").alias("n")).where("n > 1").select("root", "keep")
+    suspects = materialise(roots.join(sets, "root").select("id", "keep"), "suspects")
+    formed = materialise(forms.join(suspects, "id"), "forms")  # forms of members of sets only
+    head = formed.where("id = keep").select("keep", F.col("form").alias("keep_form"))
     alike = F.col("form") == F.col("keep_form")
-    near = rows.join(keepers, "root").where(F.col("id") != F.col("keep"))
-    near = materialise(near.select("root", "keep", F.col("id").alias("copy"), F.when(~alike, F.col("form")).alias("odd")), "copies")
-    odd = near.where("odd is not null").groupBy("root", "odd").agg(F.min("copy").alias("keep"))
-    regrouped = near.join(odd.withColumnRenamed("keep", "first"), ["root", "odd"]).where(F.col("copy") != F.col("first")).select(F.col("first").alias("keep"), "copy")
+    near = formed.where("id <> keep").join(head, "keep")
+    near = materialise(near.select("keep", F.col("id").alias("copy"), F.when(~alike, F.col("form")).alias("odd")), "copies")
+    odd = near.where("odd is not null").groupBy("keep", "odd").agg(F.min("copy").alias("first"))
+    regrouped = near.join(odd, ["keep", "odd"]).where(F.col("copy") != F.col("first")).select(F.col("first").alias("keep"), "copy")
     return near.where("odd is null").select("keep", "copy").unionAll(regrouped)
 
 
-def collapse(df: DataFrame, fields: list[str], id_col: str) -> DataFrame:
-    """(keep, copies): each set's kept id and how many records it had, itself included.
+def copies(df: DataFrame, fields: list[str], id_col: str, unordered: bool = False) -> DataFrame:
+    """(keep, copy): one row for each record but the smallest id of its set.
 
-    Grouping by digest and full form is the structural comparison; counts combine on the
-    map side, so a set holding a third of all rows is a row per task.
+    Records are the same when the unordered set of their normalised fields is equal;
+    inside a field arrays keep their order unless ``unordered``.  Digests are grouped first
+    (24 bytes a row, combined on the map side); the full normal form is made again only to
+    be met by the members of sets of two or more, and each member is held against its keeper's,
+    in a join AQE splits where one set is very large.  Members of one digest and another
+    form are regrouped by their form.  Null and empty fields are the same leaf.  Ids must be unique;
+    extra columns are not read.
     """
-    kind = T.StructType([df.schema[f] for f in fields])
-    rec = F.struct(*[F.col(f) for f in fields])
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.unhex(digest(rec, kind)).alias("root"), canonical(rec, kind).alias("form"))
-    return rows.groupBy("root", "form").agg(F.min("id").alias("keep"), F.count("*").alias("copies")).select("keep", "copies")
+    return _copies(*_roots(df, fields, id_col, unordered))
+
+
+def collapse(df: DataFrame, fields: list[str], id_col: str, unordered: bool = False) -> DataFrame:
+    """(keep, copies): each set's kept id and how many records it had, itself included."""
+    roots, forms = _roots(df, fields, id_col, unordered)
+    c = materialise(_copies(roots, forms), "pairs")
+    more = c.groupBy("keep").agg(F.count("*").alias("more"))
+    kept = roots.select(F.col("id").alias("keep")).join(c.select(F.col("copy").alias("keep")), "keep", "left_anti")
+    return kept.join(more, "keep", "left").select("keep", (F.coalesce("more", F.lit(0)) + 1).alias("copies"))

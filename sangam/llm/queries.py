@@ -97,13 +97,24 @@ def p2_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     return term_counts.marked_terms(table(spark, sf, "transformed_records"), "hinglish", "record_id", 3).where("mark is null or mark = 'common'")
 
 
-def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
-    """The split every record is dealt to, stratified by the source of its run."""
+def _dealt(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, float]]:
     t, runs = table(spark, sf, "prepared_records"), table(spark, sf, "pipeline_runs").select("run_id", "source")
     lead = grouped_splits.bundles(t, "seq", grouped_splits.clean_key("group_id"), "english")
     label = t.select(F.col("seq").alias("id"), "run_id").join(F.broadcast(runs), "run_id", "left").select("id", F.col("source").alias("label"))
-    share = {r.split: r.target_share for r in table(spark, sf, "split_targets").collect()}
-    return grouped_splits.assign_splits(lead.join(label, "id"), share).select(F.col("id").alias("seq"), F.col("lead").alias("lead_seq"), "split")
+    rows = materialise(lead.join(label, "id"), "leads")
+    share = {r.split: r.target_share for r in table(spark, sf, "split_targets").collect()}  # a row per split
+    return grouped_splits.assign_splits(rows, share).join(rows.select("id", "label"), "id"), share
+
+
+def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """The split every record is dealt to, stratified by the source of its run."""
+    return _dealt(spark, sf)[0].select(F.col("id").alias("seq"), F.col("lead").alias("lead_seq"), "split")
+
+
+def p3_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each source, and of all records (source null), the share dealt to each split beside its target."""
+    d, share = _dealt(spark, sf)
+    return grouped_splits.split_report(d, share).withColumnRenamed("label", "source")
 
 
 def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,7 +129,7 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_coverage, p1_report, p2_found, p2_terms, p2_ngrams, p3_found, p3_splits, p4_found, p5_found, p5_collapsed, p6_found, p6_groups, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_coverage, p1_report, p2_found, p2_terms, p2_ngrams, p3_found, p3_splits, p3_report, p4_found, p5_found, p5_collapsed, p6_found, p6_groups, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_redacted)}
 
 
 FOLD = r"trim(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
@@ -184,6 +195,18 @@ def oracle_sql() -> dict[str, str]:
             f"WITH r AS (SELECT seq, {e} AS e, {h} AS h FROM raw_records), k AS (SELECT seq, min(seq) OVER (PARTITION BY least(e, h), greatest(e, h)) AS keep FROM r) "
             "SELECT keep AS keep_seq, seq AS copy_seq FROM k WHERE keep <> seq"
         ),
+        "p5_collapsed": (
+            f"WITH r AS (SELECT seq, {e} AS e, {h} AS h FROM raw_records) "
+            "SELECT min(seq) AS keep_seq, count(*) AS copies FROM r GROUP BY least(e, h), greatest(e, h)"
+        ),
+        "p6_groups": (
+            "WITH RECURSIVE rec AS (SELECT seq, " + FOLD.format("english") + " AS t FROM raw_records), texts AS (SELECT min(seq) AS id, t FROM rec GROUP BY t), "
+            + _grams("texts")
+            + ", alike AS (" + _ALIKE.replace("0.7", "0.8") + "), links2 AS (SELECT x, y FROM alike UNION ALL SELECT y, x FROM alike), "
+            "reach(x, y) AS (SELECT x, y FROM links2 UNION SELECT reach.x, links2.y FROM reach JOIN links2 ON reach.y = links2.x), "
+            "lead AS (SELECT x, least(x, min(y)) AS class_id FROM reach GROUP BY x), n AS (SELECT x, count(*) AS links FROM links2 GROUP BY x) "
+            "SELECT rec.seq, coalesce(lead.class_id, texts.id) AS class_id, coalesce(n.links, 0) AS links FROM rec JOIN texts ON texts.t = rec.t LEFT JOIN lead ON lead.x = texts.id LEFT JOIN n ON n.x = texts.id"
+        ),
         "p6_found": (
             "WITH texts AS (SELECT min(seq) AS id, " + FOLD.format("english") + " AS t FROM raw_records GROUP BY 2), "
             + _grams("texts")

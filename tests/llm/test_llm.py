@@ -179,6 +179,13 @@ def test_bundles_and_splits(spark):
     share = out.split.value_counts(normalize=True)
     assert abs(share["train"] - 0.8) < 0.002 and abs(share["dev"] - 0.1) < 0.002
     assert grouped_splits.assign_splits(big.limit(0), {"train": 0.8, "dev": 0.2}).count() == 0
+    # one outsized bundle of one label, and labels of very uneven size: the same shares of each label
+    rows = [(i, 0, "a") for i in range(2000)] + [(i, i // 3, RNG.choice(["a", "a", "a", "b", "b", "c"])) for i in range(2001, 10_000)]
+    rows = spark.createDataFrame(rows, "id long, lead long, label string")
+    d = grouped_splits.assign_splits(rows, {"train": 0.8, "dev": 0.1, "test": 0.1}).join(rows.select("id", "label"), "id")
+    rep = grouped_splits.split_report(d, {"train": 0.8, "dev": 0.1, "test": 0.1}).collect()
+    assert len(rep) == 12 and max(abs(r.deviation) for r in rep) < 0.02
+    assert max(abs(r.deviation) for r in rep if r.label is None) < 0.001
 
 
 def test_format_copies(spark):
@@ -187,8 +194,11 @@ def test_format_copies(spark):
     got = {(r["keep"], r["copy"]) for r in format_duplicates.copies(df, ["english", "hinglish"], "seq").collect()}
     assert got == {(1, 3), (2, 5), (2, 6), (8, 9)}
     assert {(r["keep"], r.copies) for r in format_duplicates.collapse(df, ["english", "hinglish"], "seq").collect()} == {(1, 2), (2, 3), (7, 1), (8, 2)}
-    nested = spark.createDataFrame([(1, [("A", ["x", "Y"])]), (2, [("a!", ["y", " X"])]), (3, [("a", ["x", "z"])])], "id long, rec array<struct<k:string,v:array<string>>>")
-    assert [(r["keep"], r["copy"]) for r in format_duplicates.copies(nested, ["rec"], "id").collect()] == [(1, 2)]
+    nested = spark.createDataFrame([(1, [("A", ["x", "Y"])]), (2, [("a!", ["y", " X"])]), (3, [("a", ["x", "z"])]), (4, [("a", ["X.", "y"])])], "id long, rec array<struct<k:string,v:array<string>>>")
+    assert [(r["keep"], r["copy"]) for r in format_duplicates.copies(nested, ["rec"], "id").collect()] == [(1, 4)]  # arrays are ordered
+    assert {(r["keep"], r["copy"]) for r in format_duplicates.copies(nested, ["rec"], "id", unordered=True).collect()} == {(1, 2), (1, 4)}
+    maps = spark.createDataFrame([(1, {"a": "x", "b": "Y"}), (2, {"b": "y!", "a": "X"}), (3, {"a": "y", "b": "x"})], "id long, rec map<string,string>")
+    assert [(r["keep"], r["copy"]) for r in format_duplicates.copies(maps, ["rec"], "id").collect()] == [(1, 2)]
     assert format_duplicates.copies(df.limit(0), ["english", "hinglish"], "seq").count() == 0
 
 
