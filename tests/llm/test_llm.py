@@ -257,6 +257,11 @@ def test_mixing(spark):
     got = {r.source: r for r in mixing.shares(out, targets).collect()}
     assert abs(got["a"].actual_share - 0.5) < 1e-4 and got["a"].most_repeats <= 2 and got["b"].most_repeats <= 3 and got["c"].tokens == 0
     assert out.groupBy("doc_id").count().where("count > 1").count() == 0
+    few = mixing.mix(spark.createDataFrame(rows, "id long, n long, source string"), targets, fitted=20)
+    got = {r.source: r for r in mixing.shares(few, targets).collect()}
+    assert abs(got["a"].actual_share - 0.5) < 1e-3 and got["a"].most_repeats <= 2 and got["b"].most_repeats <= 3
+    part = mixing.mix(spark.createDataFrame(rows, "id long, n long, source string"), targets, total=20_000)
+    assert abs(part.selectExpr("sum(n_tokens * uses)").first()[0] - 20_000) <= 2
     assert mixing.mix(spark.createDataFrame([], "id long, n long, source string"), targets).count() == 0
 
 
