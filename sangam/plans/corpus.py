@@ -134,7 +134,7 @@ def attrition(s, d):
 @query("WITH " + S_ROUTED + " SELECT seq, record_id FROM r WHERE reason IS NULL")
 def clean_kept(s, d):
     """the survivors."""
-    return clean.route(_raw(s, d)).where("reason is null").select("seq", "record_id")
+    return clean.route(_raw(s, d), keep=("record_id",)).where("reason is null").select("seq", "record_id")
 
 
 @query("WITH " + S_ROUTED + ", o AS (SELECT reason, seq, row_number() OVER (PARTITION BY reason ORDER BY seq) AS n FROM r WHERE reason IS NOT NULL) SELECT reason, n, seq FROM o WHERE n <= 3")
@@ -176,11 +176,40 @@ def span_histogram(s, d):
 _M = ", ".join(f"'{w}'" for w in codemix.MARKERS)
 
 
-@query("WITH w AS (SELECT " + S_TOKENS.format("hinglish") + " AS tk, list_transform(" + S_WORDS.format("english") + ", lambda x: lower(x)) AS src FROM raw_records), "
-       "u AS (SELECT src, unnest(tk) AS t, unnest(range(0, len(tk))) AS i FROM w) SELECT CASE WHEN NOT regexp_matches(t, '\\p{L}') THEN 'other' WHEN lower(t) IN (" + _M + ") THEN 'lang2' WHEN list_contains(src, lower(t)) THEN 'lang1' WHEN i > 0 AND regexp_matches(t, '^\\p{Lu}') THEN 'ne' ELSE 'unk' END AS tag, count(*) AS n FROM u GROUP BY 1")
+_LEX = [(i, k, f) for i, (k, v) in enumerate(LEXICON.items()) for f in v.split()]
+S_LEX = "lex(label, form) AS (VALUES " + ", ".join(f"('{k}', '{f}')" for _, k, f in _LEX) + ")"
+
+
+def _lexicon(s):
+    return s.createDataFrame(_LEX, "grp_order int, label string, form string").groupBy("form").agg(F.min_by("label", "grp_order").alias("label"))
+
+
+_E = ", ".join(f"'{w}'" for w in codemix.ENGLISH_WORDS)
+S_TAGGED = (
+    S_LEX + ", mk AS (SELECT list(DISTINCT f) AS mk FROM (SELECT unnest([" + _M + "]) AS f UNION ALL SELECT lower(form) FROM lex)), "
+    "w AS (SELECT seq, " + S_TOKENS.format("hinglish") + " AS tk, list_transform(" + S_WORDS.format("english") + ", lambda x: lower(x)) AS src FROM raw_records), "
+    "u AS (SELECT seq, src, unnest(tk) AS t, unnest(range(0, len(tk))) AS i FROM w), "
+    "tagged AS (SELECT seq, i, t, CASE WHEN NOT regexp_matches(t, '[\\p{L}\\p{N}]') OR regexp_matches(t, '^\\p{Nd}+$') THEN 'other' WHEN list_contains(mk, lower(t)) AND list_contains(src, lower(t)) THEN 'ambiguous' WHEN list_contains(mk, lower(t)) THEN 'lang2' "
+    "WHEN list_contains(src, lower(t)) OR lower(t) IN (" + _E + ") THEN 'lang1' WHEN i > 0 AND regexp_matches(t, '^\\p{Lu}') THEN 'ne' ELSE 'unk' END AS tag FROM u, mk)"
+)
+
+
+def _markers(s) -> list[str]:
+    """Built-in markers and every form of the lexicon: a few hundred words."""
+    return sorted(r.form for r in codemix.markers(_lexicon(s)).collect())
+
+
+@query("WITH " + S_TAGGED + " SELECT tag, count(*) AS n FROM tagged GROUP BY 1")
 def tag_histogram(s, d):
-    """Tags made by the rules."""
-    return _raw(s, d).select(F.explode(codemix.tag_tokens("hinglish", "english")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    """Tags made by the seven rules, markers united with the lexicon."""
+    return codemix.tag_rows(_raw(s, d), "hinglish", "english", _markers(s)).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + S_TAGGED + " SELECT tag, count(DISTINCT lower(t)) AS types, min(lower(t)) AS first FROM tagged WHERE tag IN ('ambiguous', 'ne') GROUP BY 1")
+def tag_types(s, d):
+    """Distinct words under the two tags that depend on the source and on capitals."""
+    t = codemix.tag_rows(_raw(s, d), "hinglish", "english", _markers(s)).where(F.col("tag").isin("ambiguous", "ne")).groupBy("tag", F.lower("token").alias("w")).agg(F.count("*").alias("n"))
+    return t.groupBy("tag").agg(F.count("*").alias("types"), F.min("w").alias("first"))
 
 
 @query("WITH " + S_PREP + ", c AS (SELECT split, len(" + S_WORDS.format("english") + ") AS e, len(" + S_WORDS.format("hinglish") + ") AS h FROM prep) SELECT split, count(*) AS n, avg(h) AS mean, median(h)::DOUBLE AS median, quantile_disc(h, 0.95)::DOUBLE AS p95, min(h)::INT AS least, max(h)::INT AS most, round(avg(h::DOUBLE / greatest(e, 1)), 9) AS mean_ratio FROM c GROUP BY split")
@@ -219,14 +248,6 @@ def reference_imbalance(s, d):
     return h.agg(F.max_by("n_refs", F.struct("n_sources", -F.col("n_refs"))).alias("mode"), (F.max("n_sources") / F.sum("n_sources")).alias("modal_share"), (F.sum(F.when(F.col("n_refs") >= 4, F.col("n_sources")).otherwise(0)) / F.sum("n_sources")).alias("four_or_more"))
 
 
-_LEX = [(i, k, f) for i, (k, v) in enumerate(LEXICON.items()) for f in v.split()]
-S_LEX = "lex(label, form) AS (VALUES " + ", ".join(f"('{k}', '{f}')" for _, k, f in _LEX) + ")"
-
-
-def _lexicon(s):
-    return s.createDataFrame(_LEX, "grp_order int, label string, form string").groupBy("form").agg(F.min_by("label", "grp_order").alias("label"))
-
-
 @query("WITH " + S_LEX + ", w AS (SELECT lower(unnest(" + S_WORDS.format("hinglish") + ")) AS form FROM transformed_records), c AS (SELECT label, form, count(*) AS n FROM w JOIN lex USING (form) GROUP BY label, form), t AS (SELECT label, sum(n)::DOUBLE AS tot FROM c GROUP BY label) "
        "SELECT label, sum(n)::BIGINT AS occurrences, count(*) AS forms, 1 - sum(CASE WHEN form = label THEN n ELSE 0 END)::DOUBLE / sum(n)::DOUBLE AS non_canonical, round(-sum(n / tot * log2(n / tot)), 9) AS entropy FROM c JOIN t USING (label) GROUP BY label")
 def spelling_variance(s, d):
