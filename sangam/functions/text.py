@@ -98,3 +98,16 @@ def fold_vowels(x: Column | str) -> Column:
     v = F.regexp_replace(_c(x), "aa+", "a")
     v = F.regexp_replace(v, "ee+|ii+", "i")
     return F.regexp_replace(v, "oo+|uu+", "u")
+
+
+def lexicon_normal(x: Column, forms: dict[str, str]) -> Column:
+    """Each blank-separated word to its label: by its form, else by its folded form, else just folded.
+
+    ``forms``: form to label, a constant of some hundreds, tried in a literal map.
+    """
+    m = F.create_map(*[F.lit(v) for kv in forms.items() for v in kv])
+
+    def one(t: Column) -> Column:
+        return F.coalesce(F.try_element_at(m, t), F.try_element_at(m, fold_vowels(t)), fold_vowels(t))
+
+    return F.array_join(F.transform(F.split(x, " "), one), " ")

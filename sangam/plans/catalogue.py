@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sangam.plans import corpus, reports
+from sangam.plans import corpus, gates, reports
 
-MODULES = (corpus, reports)
+MODULES = (corpus, gates, reports)
 
 
 def queries() -> dict[str, Callable]:

@@ -118,7 +118,7 @@ def eval_folds(s, d):
 
 @query()
 def letter_runs(s, d):
-    """Texts with a letter three or more times in a row, and how many characters go."""
+    """P10: texts with a letter three or more times in a row, and how many characters go."""
     t = _raw(s, d).select("seq", "hinglish", T.squash_runs(F.coalesce("hinglish", F.lit(""))).alias("squashed"))
     return t.where("hinglish <> squashed").select("seq", (F.length("hinglish") - F.length("squashed")).alias("cut"))
 
@@ -162,7 +162,7 @@ def cmi_sentences(s, d):
        "SELECT y.run_id, n_sentences, round(mean_cmi, 6) AS mean_cmi, round(mean_spf, 6) AS mean_spf, round(corpus_spf, 6) AS corpus_spf, round(CASE WHEN a > 0 AND b > 0 THEN (1 - (a*a+b*b)/((a+b)*(a+b))) / ((a*a+b*b)/((a+b)*(a+b))) ELSE 0.0 END, 6) AS m_index, "
        "round(CASE WHEN k >= 2 THEN (sd - mu) / (sd + mu) END, 6) AS burstiness, round((a + b) / part, 6) AS coverage FROM y LEFT JOIN z ON y.run_id IS NOT DISTINCT FROM z.run_id")
 def cmi_by_run(s, d):
-    """Code-mixing figures of each run."""
+    """Code-mixing figures of each run."""
     g = codemix.summary(_tagged(s, d), "tags", "run_id")
     return g.select("run_id", "n_sentences", *[F.round(c, 6).alias(c) for c in g.columns[2:]])
 
@@ -236,7 +236,7 @@ def top_words(s, d):
 
 @query("WITH c AS (SELECT " + S_KEY.format("english") + " AS k, count(*) AS n_refs FROM prepared_records GROUP BY 1) SELECT n_refs, count(*) AS n_sources FROM c GROUP BY n_refs")
 def references_per_source(s, d):
-    """A11, A23."""
+    """A11."""
     c = _prep(s, d).groupBy(F.md5(T.dedup_key("english")).alias("k")).agg(F.count("*").alias("n_refs"))
     return c.groupBy("n_refs").agg(F.count("*").alias("n_sources"))
 
@@ -317,24 +317,6 @@ def contamination_clean(s, d):
     return _raw(s, d).select("seq", F.md5(T.dedup_key("english")).alias("k")).join(p, "k", "left_anti").select("seq")
 
 
-def _contamination(s, d):
-    c = _raw(s, d).select(F.col("seq").alias("id"), "english", F.col("hinglish").alias("other"))
-    return neardup.contamination(c, _prep(s, d).select(F.col("seq").alias("id"), "split", "english", F.col("hinglish").alias("other")))
-
-
-@query()
-def contamination_hits(s, d):
-    """Rows meeting each split by English key, by the other side, and else nearly."""
-    return _contamination(s, d).groupBy("kind", "split").agg(F.count("*").alias("rows"))
-
-
-@query()
-def contamination_kept(s, d):
-    """Rows left when all that meet dev or test, in any of the three ways, are taken out."""
-    bad = _contamination(s, d).where(F.col("split").isin("dev", "test")).select(F.col("id").alias("seq")).distinct()
-    return _raw(s, d).select("seq").join(bad, "seq", "left_anti")
-
-
 def _keys(s, d):
     k = _prep(s, d).select("seq", T.dedup_key("english").alias("key")).groupBy("key").agg(F.min("seq").alias("id"))
     return materialise(k.select("id", "key"), "keys")
@@ -362,7 +344,7 @@ def dup_groups(s, d):
        "list_distinct(regexp_extract_all(coalesce(english, ''), '[0-9]+')) AS a, list_distinct(regexp_extract_all(coalesce(hinglish, ''), '[0-9]+')) AS b FROM raw_records JOIN pipeline_runs USING (run_id)) "
        "SELECT source, count(*) AS rows, round(avg(CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda v: list_contains(b, v)))::DOUBLE / len(a) END), 9) AS digits_kept, count(CASE WHEN len(a) > 0 THEN 1 END) AS with_digits, avg(CASE WHEN len(list_filter(b, lambda v: NOT list_contains(a, v))) > 0 THEN 1.0 ELSE 0.0 END) AS invented, round(corr(x, y), 6) AS length_corr FROM c GROUP BY source")
 def alignment_probe(s, d):
-    """A18, A19, A20, P32, P33."""
+    """A18, A20, P32, P33."""
     runs = F.broadcast(table(s, d, "pipeline_runs").select("run_id", "source"))  # a row per run
     digits = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[0-9]+"), F.lit(0)))
     c = _raw(s, d).join(runs, "run_id").select("source", digits("english").alias("a"), digits("hinglish").alias("b"), F.size(T.word_tokens("english")).cast("double").alias("x"), F.size(T.word_tokens("hinglish")).cast("double").alias("y"))
@@ -429,7 +411,7 @@ def order_inversions(s, d):
 
 @query("WITH w AS (SELECT unnest(" + S_WORDS.format("text") + ") AS w, source FROM (SELECT text, lower(trim(source)) AS source FROM documents)) SELECT source, count(*) AS words, sum(strlen(w))::DOUBLE / count(*)::DOUBLE AS bytes_per_word, avg(CASE WHEN strlen(w) > 4 THEN 1.0 ELSE 0.0 END) AS long_share, count(DISTINCT w) AS types FROM w GROUP BY source")
 def fertility(s, d):
-    """Cost of words in bytes per source; words collapse before any costing."""
+    """Cost of words in bytes per source; words collapse before any costing."""
     w = table(s, d, "documents").select(F.lower(F.trim("source")).alias("source"), F.explode(T.word_tokens("text")).alias("w")).groupBy("source", "w").agg(F.count("*").alias("n"))
     b = F.octet_length("w")
     return w.groupBy("source").agg(F.sum("n").alias("words"), (F.sum(F.col("n") * b) / F.sum("n")).alias("bytes_per_word"), (F.sum(F.when(b > 4, F.col("n")).otherwise(0)) / F.sum("n")).alias("long_share"), F.count("*").alias("types"))

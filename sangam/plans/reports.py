@@ -11,7 +11,6 @@ from sangam.functions import text as T
 from sangam.operators import codemix, metrics, translit
 from sangam.plans.corpus import S_KEY, S_LANG, S_PREP, S_WORDS, _prep, _raw, _tagged
 from sangam.session import materialise, table
-from sangam.sources import sinks
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -96,7 +95,7 @@ def run_ids(s, d):
 
 @query("SELECT source, sum(elapsed_seconds) AS spent, count(*) FILTER (WHERE gate_passed = 1) AS ok, count(*) FILTER (WHERE gate_passed = 0) AS failed, count(*) FILTER (WHERE gate_passed IS NULL) AS running, 3 * avg(elapsed_seconds) AS projected FROM pipeline_runs GROUP BY source")
 def ledger_rollup(s, d):
-    """A27, A28, A36."""
+    """A28, A36."""
     g = lambda v: F.count(F.when(v, 1))
     return _runs(s, d).groupBy("source").agg(F.sum("elapsed_seconds").alias("spent"), g(F.col("gate_passed") == 1).alias("ok"), g(F.col("gate_passed") == 0).alias("failed"), g(F.col("gate_passed").isNull()).alias("running"), (3 * F.avg("elapsed_seconds")).alias("projected"))
 
@@ -120,22 +119,16 @@ def gold_validation(s, d):
 
 @query("SELECT 'raw_ids_known' AS name, (SELECT count(*) FROM prepared_records WHERE record_id NOT IN (SELECT record_id FROM raw_records WHERE record_id IS NOT NULL)) = 0 AS passed UNION ALL SELECT 'seq_unique', (SELECT count(*) = count(DISTINCT seq) FROM raw_records) UNION ALL SELECT 'splits_known', (SELECT bool_and(lower(trim(split)) IN ('train', 'dev', 'test')) FROM prepared_records)")
 def quality_panel(s, d):
-    """A43, F11."""
+    """Checks of ids and splits."""
     unknown = _prep(s, d).where("record_id is not null").join(_raw(s, d).select("record_id"), "record_id", "left_anti").agg((F.count("*") == 0).alias("passed")).select(F.lit("raw_ids_known").alias("name"), "passed")
     unique = _raw(s, d).groupBy("seq").agg(F.count("*").alias("n")).agg((F.max("n") == 1).alias("passed")).select(F.lit("seq_unique").alias("name"), "passed")
     known = _prep(s, d).agg(F.bool_and(F.col("split").isin("train", "dev", "test")).alias("passed")).select(F.lit("splits_known").alias("name"), "passed")
     return unknown.unionAll(unique).unionAll(known)
 
 
-@query()
-def split_manifest(s, d):
-    """Digests per split, in buckets so that no split meets in one task."""
-    return sinks.manifest(_prep(s, d), "split", "seq")
-
-
 @query("WITH c AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL), l AS (SELECT *, lag(n) OVER (PARTITION BY event_type ORDER BY day) AS before FROM c) SELECT day, event_type, n, round(total, 4) AS total, CASE WHEN before IS NULL THEN NULL ELSE round(abs(n - before)::DOUBLE / before, 9) END AS delta, coalesce(abs(n - before)::DOUBLE / before > 0.01, false) AS alert FROM l")
 def drift_monitor(s, d):
-    """Daily counts against the day before; one row per day and type is windowed."""
+    """Daily counts against the day before; one row per day and type is windowed."""
     from sangam.streaming.monitor import daily_counts
 
     c = daily_counts(table(s, d, "events"))
@@ -197,7 +190,7 @@ def krippendorff_ordinal(s, d):
 
 @query("WITH r AS " + _RATED + " SELECT a.rater AS first, b.rater AS second, count(*) AS items, avg(CASE WHEN a.v = b.v THEN 1.0 ELSE 0.0 END) AS agreement FROM r a JOIN r b ON a.unit = b.unit AND a.rater < b.rater GROUP BY ALL")
 def pairwise_agreement(s, d):
-    """Raters are the fixed sources, so a unit has a handful of rows."""
+    """Raters are the fixed sources, so a unit has a handful of rows."""
     r = _ratings(s, d)
     a, b = r.select("unit", F.col("rater").alias("first"), F.col("v").alias("x")), r.select("unit", F.col("rater").alias("second"), F.col("v").alias("y"))
     return a.join(b, "unit").where("first < second").groupBy("first", "second").agg(F.count("*").alias("items"), F.avg(F.when(F.col("x") == F.col("y"), 1.0).otherwise(0.0)).alias("agreement"))
@@ -226,13 +219,13 @@ def _boot(s, d):
 
 @query("WITH " + _BOOT + " SELECT round(quantile_cont(s, 0.025), 9) AS low, round(quantile_cont(s, 0.975), 9) AS high, round(avg(s), 9) AS mean, round(stddev_samp(s), 9) AS std FROM sc")
 def bootstrap_interval(s, d):
-    """R5, R7, A36."""
+    """Over runs."""
     return _boot(s, d).agg(F.round(F.percentile("s", F.lit(0.025)), 9).alias("low"), F.round(F.percentile("s", F.lit(0.975)), 9).alias("high"), F.round(F.avg("s"), 9).alias("mean"), F.round(F.stddev_samp("s"), 9).alias("std"))
 
 
 @query("WITH m AS (SELECT source, avg(elapsed_seconds) AS mean, stddev_samp(elapsed_seconds) AS std FROM pipeline_runs GROUP BY source), l AS (SELECT *, lag(mean) OVER (ORDER BY source) AS below FROM m) SELECT source, mean, CASE WHEN std IS NULL THEN 1.0 ELSE greatest(1.0, 2 * std) END AS threshold, CASE WHEN below IS NULL THEN 'first' WHEN mean - below > CASE WHEN std IS NULL THEN 1.0 ELSE greatest(1.0, 2 * std) END THEN 'improvement' WHEN below - mean > CASE WHEN std IS NULL THEN 1.0 ELSE greatest(1.0, 2 * std) END THEN 'worse' ELSE 'null' END AS verdict FROM l")
 def ladder_verdicts(s, d):
-    """Each rung against the one below; a row per source is windowed."""
+    """Each rung against the one below; a row per source is windowed."""
     m = _runs(s, d).groupBy("source").agg(F.avg("elapsed_seconds").alias("mean"), F.stddev_samp("elapsed_seconds").alias("std"))
     m = m.withColumn("below", F.lag("mean").over(W.orderBy("source"))).withColumn("threshold", metrics.null_threshold(F.col("std")))
     return m.select("source", "mean", "threshold", F.when(F.col("below").isNull(), "first").otherwise(metrics.verdict(F.col("mean") - F.col("below"), F.col("threshold"))).alias("verdict"))
@@ -356,7 +349,7 @@ def _blocks(best):
 
 @query("WITH k AS (SELECT DISTINCT md5(" + S_KEY.format("english") + ") AS k FROM prepared_records), c AS (SELECT k FROM k ORDER BY sha256('7|' || k) LIMIT 50), x AS (SELECT k, system FROM c CROSS JOIN (VALUES ('a'), ('b'), ('c')) v(system)) SELECT printf('E%03d', row_number() OVER (ORDER BY sha256(k || '|' || system))) AS row_id, k AS source_md5, system FROM x")
 def blind_sheet(s, d):
-    """A sample of 50 sources under each of three systems, in blind order."""
+    """A sample of 50 sources under each of three systems, in blind order."""
     k = _prep(s, d).select(F.md5(T.dedup_key("english")).alias("k")).distinct().orderBy(F.sha2(F.concat(F.lit("7|"), "k"), 256)).limit(50)
     x = k.crossJoin(F.broadcast(s.createDataFrame([("a",), ("b",), ("c",)], "system string")))
     n = F.row_number().over(W.orderBy(F.sha2(F.concat_ws("|", "k", "system"), 256)))  # 150 rows
