@@ -129,16 +129,16 @@ def parallel_filters(s, d):
     return r.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("rows"), F.min("seq").alias("first"))
 
 
-_GOLD = "CASE WHEN english IS NULL OR trim(english) = '' THEN 'blank source' END, CASE WHEN hinglish IS NULL OR trim(hinglish) = '' THEN 'blank target' END, CASE WHEN seq > f1 THEN 'repeated id' END, CASE WHEN seq > f2 THEN 'repeated source' END, CASE WHEN hindi IS NULL AND starts_with(lower(hinglish), 'n') THEN 'flag without note' END"
+_GOLD = "CASE WHEN english IS NULL OR trim(english, ' ') = '' THEN 'blank source' END, CASE WHEN hinglish IS NULL OR trim(hinglish, ' ') = '' THEN 'blank target' END, CASE WHEN record_id IS NOT NULL AND seq > f1 THEN 'repeated id' END, CASE WHEN seq > f2 THEN 'repeated source' END, CASE WHEN hindi IS NULL AND starts_with(lower(hinglish), 'n') THEN 'flag without note' END"
 
 
-@query("WITH x AS (SELECT *, min(seq) OVER (PARTITION BY record_id) AS f1, CASE WHEN trim(english) <> '' THEN min(seq) OVER (PARTITION BY lower(trim(english))) END AS f2 FROM raw_records) SELECT error, count(*) AS rows, min(seq) AS first FROM (SELECT seq, unnest([" + _GOLD + "]) AS error FROM x) WHERE error IS NOT NULL GROUP BY error")
+@query("WITH x AS (SELECT *, min(seq) OVER (PARTITION BY record_id) AS f1, CASE WHEN trim(english, ' ') <> '' THEN min(seq) OVER (PARTITION BY lower(trim(english, ' '))) END AS f2 FROM raw_records) SELECT error, count(*) AS rows, min(seq) AS first FROM (SELECT seq, unnest([" + _GOLD + "]) AS error FROM x) WHERE error IS NOT NULL GROUP BY error")
 def gold_rules(s, d):
     """five rules of a gold set; the first row of an id and of a source comes from aggregates."""
     r = _raw(s, d).withColumn("_s", F.md5(F.lower(F.trim("english"))))
     f1 = r.groupBy("record_id").agg(F.min("seq").alias("f1"))
     f2 = r.where("trim(english) <> ''").groupBy("_s").agg(F.min("seq").alias("f2"))
-    x = r.join(f1, "record_id").join(f2, "_s", "left")
+    x = r.join(f1, "record_id", "left").join(f2, "_s", "left")  # null ids repeat nothing
     blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
     p = gates.problems((blank("english"), "blank source"), (blank("hinglish"), "blank target"), (F.col("seq") > F.col("f1"), "repeated id"), (F.col("seq") > F.col("f2"), "repeated source"), (F.col("hindi").isNull() & F.lower("hinglish").startswith("n"), "flag without note"))
     return x.select("seq", F.explode(p).alias("error")).groupBy("error").agg(F.count("*").alias("rows"), F.min("seq").alias("first"))
