@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sangam.plans import corpus, gates, reports
+from sangam.plans import corpus, costs, gates, reports
 
-MODULES = (corpus, gates, reports)
+MODULES = (corpus, gates, costs, reports)
 
 
 def queries() -> dict[str, Callable]:
