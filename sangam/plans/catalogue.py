@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sangam.plans import corpus, costs, gates, reports
+from sangam.plans import corpus, costs, evaluation, gates, reports
 
-MODULES = (corpus, gates, costs, reports)
+MODULES = (corpus, gates, costs, reports, evaluation)
 
 
 def queries() -> dict[str, Callable]:
