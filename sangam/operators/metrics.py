@@ -133,3 +133,76 @@ def null_threshold(std: Column) -> Column:
 
 def verdict(gain: Column, threshold: Column) -> Column:
     return F.when(gain > threshold, "improvement").when(-gain > threshold, "worse").otherwise("null")
+
+
+def multi_reference_scores(pairs: DataFrame, by: str, item: str) -> DataFrame:
+    """(by, sentences, chrf, rouge_l, wer) of pairs (by, item, pos, hyp, ref), a row per reference.
+
+    Every metric takes the reference its own sentence score likes best, the first by ``pos`` of
+    equals; empty references are skipped where there are others.  Each pair is scored once, in one
+    Arrow pass, and the best is an aggregate that combines on the map side, so references are
+    never gathered.  Null texts count as empty.
+    """
+    schema = f"`{by}` string, `{item}` string, pos long, blank boolean, rate double, top double, " + ", ".join(f"`{c}` double" for c in SLOTS)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = np.array([statistics(h or "", r or "") for h, r in zip(pdf["hyp"], pdf["ref"])], dtype=float).reshape(-1, len(SLOTS))
+            out = pd.DataFrame(rows, columns=SLOTS)
+            out.insert(0, "top", [-chrf(r) for r in rows])
+            out.insert(0, "rate", out["edits"] / out["ref_words"].clip(lower=1))
+            out.insert(0, "blank", [not (r or "").strip() for r in pdf["ref"]])
+            for n, c in enumerate((by, item, "pos")):
+                out.insert(n, c, pdf[c].to_numpy())
+            yield out
+
+    @F.pandas_udf("double")
+    def f_chrf(x: pd.Series) -> pd.Series:
+        return x.map(chrf)
+
+    x = pairs.select(F.col(by).cast("string"), F.col(item).cast("string"), F.col("pos").cast("long"), "hyp", "ref").mapInPandas(run, schema)
+    chars = [c for c in SLOTS if c.startswith("chrf")]
+    best = x.groupBy(by, item).agg(
+        F.min_by(F.struct(*chars), F.struct("blank", "top", "pos")).alias("c"), F.min(F.struct("blank", (-F.col("rouge")).alias("f")))["f"].alias("rouge"),
+        F.min_by(F.struct("edits", "ref_words"), F.struct("blank", "rate", "pos")).alias("w"),
+    )
+    g = best.groupBy(by).agg(F.count("*").alias("sentences"), *[F.sum(F.col("c")[c]).alias(c) for c in chars], F.avg(-F.col("rouge")).alias("rouge_l"), F.sum(F.col("w")["edits"]).alias("e"), F.sum(F.col("w")["ref_words"]).alias("n"))
+    return g.select(by, "sentences", f_chrf(F.array(*chars)).alias("chrf"), "rouge_l", F.when(F.col("n") > 0, F.col("e") / F.col("n")).alias("wer"))
+
+
+def word_grams(words: Column, top: int = 4) -> Column:
+    """Structs (n, gram) of all runs of 1 to ``top`` words of an array, joined by blanks."""
+    size = F.size(words)
+
+    def of(n: int) -> Column:
+        at = F.when(size >= n, F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(words, i, n), " ").alias("gram")))
+
+    return F.concat(*[of(n) for n in range(1, top + 1)])
+
+
+def multi_reference_bleu(pairs: DataFrame, by: str, item: str) -> DataFrame:
+    """(by, hyp_words, ref_words, hit1.., all1.., bleu) of pairs (by, item, pos, hyp, ref): BLEU against several references.
+
+    Counts of an item's n-grams are clipped by the most any of its references has, the
+    reference length is the closest, the shorter of equals, and orders without a hit are smoothed by
+    halving.  All in the JVM: n-grams are counted, joined and summed, none gathered.
+    """
+    words = lambda c: F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), " +"), lambda w: w != "")
+    p = pairs.select(by, item, "pos", words("hyp").alias("h"), words("ref").alias("r"))
+    one = p.groupBy(by, item).agg(F.min_by("h", "pos").alias("h"), F.min(F.struct(F.abs(F.size("h") - F.size("r")).alias("d"), F.size("r").alias("l")))["l"].alias("l"))
+    lengths = one.groupBy(by).agg(F.sum(F.size("h")).alias("hyp_words"), F.sum("l").alias("ref_words"))
+    hc = one.select(by, item, F.explode(word_grams(F.col("h"))).alias("g")).groupBy(by, item, "g.n", "g.gram").agg(F.count("*").alias("c"))
+    rc = p.select(item, "pos", "r").distinct().select(item, "pos", F.explode(word_grams(F.col("r"))).alias("g")).groupBy(item, "pos", "g.n", "g.gram").agg(F.count("*").alias("c")).groupBy(item, "n", "gram").agg(F.max("c").alias("m"))
+    s = hc.join(rc, [item, "n", "gram"], "left").groupBy(by).agg(
+        *[F.sum(F.when(F.col("n") == n, F.least("c", F.coalesce("m", F.lit(0)))).otherwise(0)).alias(f"hit{n}") for n in range(1, 5)], *[F.sum(F.when(F.col("n") == n, F.col("c")).otherwise(0)).alias(f"all{n}") for n in range(1, 5)]
+    )
+    x = lengths.join(s, by)
+    logs, halves = F.lit(0.0), F.lit(0.0)
+    for n in range(1, 5):
+        hit, all_ = F.col(f"hit{n}"), F.col(f"all{n}")
+        halves = halves + F.when(hit == 0, 1.0).otherwise(0.0)
+        logs = logs + F.when(hit > 0, F.ln(hit / all_)).otherwise(-halves * F.ln(F.lit(2.0)) - F.ln(all_.cast("double")))
+    short = F.least(F.lit(0.0), 1 - F.col("ref_words") / F.col("hyp_words"))
+    full = F.least(*[F.col(f"all{n}") for n in range(1, 5)]) > 0
+    return x.withColumn("bleu", F.when(full, 100 * F.exp(short + logs / 4)).otherwise(0.0))

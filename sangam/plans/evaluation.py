@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sangam.functions import text as T
-from sangam.operators import clean, codemix, resampling
+from sangam.operators import clean, codemix, metrics, resampling
 from sangam.plans.corpus import S_KEY, S_LANG, S_NORM, S_PREP, S_ROUTED, S_SPANS, S_WORDS, _prep, _raw, _tagged
 from sangam.plans.gates import S_EVAL, S_FOLDV
 from sangam.plans.reports import _LATEST, _RATED, _latest, _ratings, _runs
@@ -91,6 +91,29 @@ def baseline_check(s, d):
     return p.join(F.broadcast(g), "system", "left").select("system", "published", F.round("got", 9).alias("got"), F.coalesce(F.abs(F.col("got") - F.col("published")) <= 0.1, F.lit(False)).alias("passed"))
 
 
+_SPLIT = "list_filter(string_split({0}, ' '), lambda w: w <> '')"
+
+
+@query(
+    "WITH " + S_ITEMS + ", hw AS (SELECT k, system, any_value(" + _SPLIT.format("hyp") + ") AS h FROM pr GROUP BY ALL), ln AS (SELECT pr.k, pr.system, min(abs(len(h) - len(" + _SPLIT.format("ref") + ")) * 100000 + len(" + _SPLIT.format("ref") + ")) % 100000 AS l FROM pr JOIN hw USING (k, system) GROUP BY ALL), "
+    "hg AS (SELECT k, system, n, array_to_string(h[i::INT:(i + n - 1)::INT], ' ') AS gram FROM hw, range(1, 5) a(n), range(1, len(h) - n + 2) b(i)), hc AS (SELECT k, system, n, gram, count(*) AS c FROM hg GROUP BY ALL), "
+    "rw AS (SELECT DISTINCT k, seq, " + _SPLIT.format("ref") + " AS r FROM pr), rg AS (SELECT k, seq, n, array_to_string(r[i::INT:(i + n - 1)::INT], ' ') AS gram FROM rw, range(1, 5) a(n), range(1, len(r) - n + 2) b(i)), rc AS (SELECT k, n, gram, max(c) AS m FROM (SELECT k, seq, n, gram, count(*) AS c FROM rg GROUP BY ALL) GROUP BY ALL), "
+    "t AS (SELECT system, n, sum(least(c, coalesce(m, 0)))::DOUBLE AS hit, sum(c)::DOUBLE AS tot FROM hc LEFT JOIN rc USING (k, n, gram) GROUP BY ALL), lt AS (SELECT system, sum(len(h)) AS hyp_words, sum(l) AS ref_words FROM hw JOIN ln USING (k, system) GROUP BY system), "
+    "o AS (SELECT *, sum(CASE WHEN hit = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY system ORDER BY n) AS halves FROM t) "
+    "SELECT system, hyp_words::BIGINT AS hyp_words, ref_words::BIGINT AS ref_words, round(100 * exp(least(0, 1 - ref_words::DOUBLE / hyp_words) + sum(CASE WHEN hit > 0 THEN ln(hit / tot) ELSE -halves * ln(2) - ln(tot) END) / 4), 9) AS bleu FROM o JOIN lt USING (system) GROUP BY system, hyp_words, ref_words"
+)
+def system_bleu(s, d):
+    """BLEU of each system against all references, counts clipped by the most any has, the closest length."""
+    x = metrics.multi_reference_bleu(_pairs(s, d).withColumn("pos", F.col("seq")), "system", "k")
+    return x.select("system", "hyp_words", F.col("ref_words").cast("long").alias("ref_words"), F.round("bleu", 9).alias("bleu"))
+
+
+@query()
+def system_metrics(s, d):
+    """chrF++, ROUGE-L and word error rate of each system, each by its own best reference."""
+    return metrics.multi_reference_scores(_pairs(s, d).withColumn("pos", F.col("seq")), "system", "k")
+
+
 _IX = "nn AS (SELECT count(*) AS n FROM st), ix AS (SELECT b.range AS b, ('0x' || substr(md5(b.range || '|' || j.range), 1, 8))::BIGINT % n AS i FROM range(100) b, nn, range(0, (SELECT n FROM nn)) j)"
 _STATS = S_ITEMS + ", pv AS (SELECT k, max(CASE WHEN system = 'm0' THEN edits END)::DOUBLE AS e0, max(CASE WHEN system = 'm0' THEN chars END)::DOUBLE AS c0, max(CASE WHEN system = 'm1' THEN edits END)::DOUBLE AS e1, max(CASE WHEN system = 'm1' THEN chars END)::DOUBLE AS c1, max(CASE WHEN system = 'm2' THEN edits END)::DOUBLE AS e2, max(CASE WHEN system = 'm2' THEN chars END)::DOUBLE AS c2 FROM best GROUP BY k), st AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS i FROM pv), " + _IX
 _REPS = _STATS + ", rep AS (SELECT b, sum(e0) / sum(c0) AS s0, sum(e1) / sum(c1) AS s1, sum(e2) / sum(c2) AS s2, avg(e0 / c0 - e1 / c1) AS d01 FROM ix JOIN st USING (i) GROUP BY b)"

@@ -126,14 +126,14 @@ def quality_panel(s, d):
     return unknown.unionAll(unique).unionAll(known)
 
 
-@query("WITH c AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL), l AS (SELECT *, lag(n) OVER (PARTITION BY event_type ORDER BY day) AS before FROM c) SELECT day, event_type, n, round(total, 4) AS total, CASE WHEN before IS NULL THEN NULL ELSE round(abs(n - before)::DOUBLE / before, 9) END AS delta, coalesce(abs(n - before)::DOUBLE / before > 0.01, false) AS alert FROM l")
+@query("WITH c AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL), l AS (SELECT *, lag(n) OVER (PARTITION BY event_type ORDER BY day) AS before FROM c) SELECT day, event_type, n, round(total, 4) AS total, CASE WHEN before IS NULL THEN NULL ELSE round(CASE WHEN before = 0 THEN CASE WHEN n = 0 THEN 0.0 ELSE 1.0 END ELSE abs(n - before)::DOUBLE / before END, 9) END AS delta, coalesce(abs(n - before)::DOUBLE / before > 0.01, false) AS alert FROM l")
 def drift_monitor(s, d):
-    """Daily counts against the day before; one row per day and type is windowed."""
+    """Daily counts against the day before; one row per day and type is windowed."""
     from sangam.streaming.monitor import daily_counts
 
     c = daily_counts(table(s, d, "events"))
     b = F.lag("n").over(W.partitionBy("event_type").orderBy("day"))
-    r = F.abs(F.col("n") - b) / b
+    r = F.when(b == 0, F.when(F.col("n") == 0, 0.0).otherwise(1.0)).otherwise(F.abs(F.col("n") - b) / b)  # from nothing: all or nothing
     return c.select("day", "event_type", "n", F.round("total", 4).alias("total"), F.round(r, 9).alias("delta"), F.coalesce(r > 0.01, F.lit(False)).alias("alert"))
 
 
@@ -291,7 +291,7 @@ def codemix_candidates(s, d):
 
 @query()
 def renderings_scored(s, d):
-    """chrF++, BLEU, ROUGE-L and WER of each other rendering against the first."""
+    """chrF++, BLEU, ROUGE-L and WER of each other rendering against the first."""
     p = _prep(s, d).select("seq", "split", F.md5(T.dedup_key("english")).alias("k"), F.coalesce("hinglish", F.lit("")).alias("h"))
     lead = p.groupBy("k").agg(F.min("seq").alias("lead"), F.min_by("h", "seq").alias("ref"))
     return metrics.corpus_scores(p.join(lead, "k").where("seq <> lead").select("split", F.col("h").alias("hyp"), "ref"), "split")

@@ -17,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -53,11 +54,44 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` once below :func:`shared_dir` and return a scan of the written table."""
+    """Write ``df`` once below :func:`shared_dir` and return a scan of the written table.
+
+    What is not given to :func:`drop` before is deleted when the process ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sangam-{label}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_clean)
+    _WRITTEN[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sangam_path = path
+    return out
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    local = path.removeprefix("file://")
+    if local.startswith("/"):
+        shutil.rmtree(local, True)
+        return
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table :func:`materialise` wrote that nothing reads any more; other frames are left alone."""
+    path = getattr(df, "_sangam_path", None)
+    if path in _WRITTEN:
+        _delete(path, _WRITTEN.pop(path))
+
+
+def _clean() -> None:
+    for path, spark in list(_WRITTEN.items()):
+        try:
+            _delete(path, spark)
+        except Exception:  # the session is gone: a remote folder is left to its owner
+            pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

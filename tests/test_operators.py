@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -198,3 +199,30 @@ def test_screen_leaves_no_pair_out():
     kept = shingles.screen(xs, ys, 0.7)
     alike = [shingles.likeness(x, y) >= 0.7 for x, y in zip(xs, ys)]
     assert all(k for k, a in zip(kept, alike) if a) and sum(alike) > 100 and sum(kept) < 1.2 * sum(alike) + 20
+
+
+def test_multi_reference_metrics(spark):
+    rows = [("s", "i1", 0, "a b c d e", "a b x d e"), ("s", "i1", 1, "a b c d e", "a b c d f g"), ("s", "i1", 2, "a b c d e", ""), ("s", "i2", 0, "p q r s", "p q r s"), ("s", "i3", 0, None, "z z")]
+    df = spark.createDataFrame(rows, "system string, item string, pos long, hyp string, ref string")
+    got = metrics.multi_reference_scores(df, "system", "item").first()
+    assert got.sentences == 3
+    # item 1: the first reference by error rate (1 of 5), the better one by chrF++
+    assert got.wer == pytest.approx((1 + 0 + 2) / (5 + 4 + 2))
+    f = lambda h, r: 2 * metrics.lcs(h.split(), r.split()) / (len(h.split()) + len(r.split()))
+    assert got.rouge_l == pytest.approx((max(f("a b c d e", "a b x d e"), f("a b c d e", "a b c d f g")) + 1 + 0) / 3)
+    b = metrics.multi_reference_bleu(df.where("item <> 'i3'"), "system", "item").first()
+    assert (b.hyp_words, b.ref_words, b.hit1, b.all1, b.hit2, b.hit4) == (9, 9, 9, 9, 7, 2)  # clipped by the most any reference has
+    same = df.where("item = 'i2'")
+    assert metrics.multi_reference_bleu(same, "system", "item").first().bleu == pytest.approx(100)
+    assert metrics.multi_reference_scores(df.limit(0), "system", "item").count() == 0
+
+
+def test_dropped_tables_are_gone(spark):
+    from sangam import session
+
+    t = session.materialise(spark.range(3).toDF("id"), "gone")
+    path = t._sangam_path.removeprefix("file://")
+    assert os.path.isdir(path) and t.count() == 3
+    session.drop(t)
+    session.drop(t)
+    assert not os.path.exists(path)
