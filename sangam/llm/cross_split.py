@@ -18,7 +18,7 @@ from sangam.functions.text import folded
 from sangam.operators.buckets import HOT
 from sangam.operators.shingles import Checker, MinHasher, mix64, screen, winnow
 from sangam.operators.similar import candidates
-from sangam.session import materialise
+from sangam.session import materialise, release
 
 GRAM, WINDOW = 16, 20
 CAP = 512  # cross-split pairs one fingerprint may give; hotter ones are not paired
@@ -259,6 +259,7 @@ def text_pairs(texts: DataFrame, threshold: float = 0.7, fields: int = 1, k: int
     out = keyed.mapInArrow(_reducer(cap), "a long, b long, c int").groupBy("a", "b").agg(F.sum("c").alias("c"))
     wanted = ((F.col("b") != HOT) & (F.col("c") >= 2)) | ((F.col("b") == HOT) & (F.col("c") < 0))
     out = materialise(out.where(wanted).select("a", "b"), "seeds")
+    release(texts.sparkSession)
     hot = out.where(F.col("b") == HOT).select(F.col("a").alias("id"))  # one row per id after the sum
     cand = out.where(F.col("b") != HOT)
     if not hot.isEmpty():
@@ -304,6 +305,7 @@ def _rows(df: DataFrame, id_col: str, split: Column, fields: list[str]) -> tuple
     texts = rows.groupBy("f", "text").agg((F.min("seq") * len(fields) + F.first("f")).alias("id"), (bit(1) + bit(2)).alias("side"))
     seen = Observation()
     texts = materialise(texts.select("id", "text", "side").observe(seen, F.sum(F.length("text")).alias("n")), "texts")
+    release(texts.sparkSession)
     return rows, texts, seen.get["n"] or 0
 
 
