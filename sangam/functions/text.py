@@ -111,3 +111,27 @@ def lexicon_normal(x: Column, forms: dict[str, str]) -> Column:
         return F.coalesce(F.try_element_at(m, t), F.try_element_at(m, fold_vowels(t)), fold_vowels(t))
 
     return F.array_join(F.transform(F.split(x, " "), one), " ")
+
+
+def clean_output(x: Column | str) -> Column:
+    """A model's answer: chat prefixes off, then the first line that is not blank; null or none gives the empty text."""
+    v = F.coalesce(_c(x), F.lit(""))
+    for _ in range(3):  # prefixes may be nested
+        v = F.regexp_replace(v, r"(?i)^\s*(?:assistant|hinglish|translation|output|answer)\s*:\s*", "")
+    return F.coalesce(F.get(F.filter(F.transform(F.split(v, "\n"), lambda v: F.trim(v)), lambda t: t != ""), F.lit(0)), F.lit(""))
+
+
+def build_source(english: Column, hindi: Column, condition: str, separator: str = " | ") -> Column:
+    """A model's input: english alone, or english and hindi; a missing Hindi side is an error there."""
+    if condition == "english":
+        return english
+    blank = F.coalesce(F.trim(hindi), F.lit("")) == ""
+    return F.when(blank, F.raise_error(F.lit("no Hindi side")).cast("string")).otherwise(F.concat(english, F.lit(separator), hindi))
+
+
+def parse_codes(x: Column | str, codes: list[str]) -> Column:
+    """Upper-cased codes of a cell, split at ; or ,: an error if one is unknown or OK stands with others."""
+    c = F.array_distinct(F.filter(F.transform(F.split(F.upper(F.coalesce(_c(x), F.lit(""))), "[;,]"), lambda v: F.trim(v)), lambda v: v != ""))
+    known = F.array(*[F.lit(v) for v in codes])
+    bad = (F.size(F.array_except(c, known)) > 0) | (F.array_contains(c, "OK") & (F.size(c) > 1))
+    return F.when(bad, F.raise_error(F.concat(F.lit("bad codes: "), F.array_join(c, ","))).cast("array<string>")).otherwise(c)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from sangam.plans import corpus, costs, evaluation, gates, reports
+from sangam.plans import corpus, costs, evaluation, files, gates, reports
 
-MODULES = (corpus, gates, costs, reports, evaluation)
+MODULES = (corpus, gates, costs, reports, evaluation, files)
 
 
 def queries() -> dict[str, Callable]:

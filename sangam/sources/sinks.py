@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +69,32 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
 def load_run(df: DataFrame, path: str) -> None:
     """Replace the partitions of the runs in ``df``; loading a run again changes nothing."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def write_split_tsv(df: DataFrame, path: str, columns: list[str]) -> None:
+    """Rows as TSV with a header and no quotes: tabs and line breaks inside texts become blanks."""
+    clean = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\t\r\n]+", " ").alias(c) for c in columns]
+    w = df.select(*clean).write.mode("overwrite").option("sep", "\t").option("header", True)
+    # without a quote character nothing is escaped: a quote is data
+    w.option("quote", "").option("escape", "").option("emptyValue", "").csv(path)
+
+
+def write_sheet(df: DataFrame, path: str) -> None:
+    """A quoted CSV for people to fill in."""
+    df.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+
+
+class RunLedger:
+    """Appends one record of a run when its block ends: its time, and whether it failed."""
+
+    def __init__(self, spark, path: str, name: str, seed: int | None = None):
+        self.spark, self.path, self.name, self.seed = spark, path, name, seed
+
+    def __enter__(self) -> RunLedger:
+        self.started = time.time()
+        return self
+
+    def __exit__(self, kind, error, trace) -> bool:
+        row = (self.name, self.seed, self.started, time.time() - self.started, "failed" if error else "ok", str(error) if error else None)
+        self.spark.createDataFrame([row], "name string, seed long, started double, elapsed_seconds double, status string, error string").write.mode("append").json(self.path)
+        return False
