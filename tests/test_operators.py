@@ -144,11 +144,14 @@ def test_metrics(spark):
 
 
 def test_romaniser(spark):
-    assert translit.romanise_word("नमक") == "namak" and translit.romanise_word("राम") == "ram"
+    # long vowels are written long but at a word's end
+    words = {"नमक": "namak", "राम": "raam", "समझना": "samajhna", "लड़की": "ladki", "हिन्दू": "hindu", "ज़मीन": "zameen", "ज़मीन": "zameen", "दुःख": "duhkh", "संगत": "sangat", "१२": "12", "": ""}
+    assert {w: translit.romanise_word(w) for w in words} == words
     votes = spark.createDataFrame([("है", "hai", 3), ("है", "he", 3), ("है", "hay", 1)], "native string, latin string, n int")
     lex = translit.vote_lexicon(votes)
-    df = spark.createDataFrame([(1, "राम है ok"), (2, None)], "id long, t string")
-    assert [(r.romanised, r.from_lexicon, r.from_rules) for r in translit.romanise(df, "id", "t", lex).collect()] == [("ram hai ok", 1, 1)]
+    df = spark.createDataFrame([(1, "राम है, ok!"), (2, None), (3, "")], "id long, t string")
+    got = {r.id: (r.romanised, r.from_lexicon, r.from_rules) for r in translit.romanise(df, "id", "t", lex).collect()}
+    assert got == {1: ("raam hai, ok!", 1, 1), 3: ("", 0, 0)}
 
 
 def test_readers(spark, tmp_path):
