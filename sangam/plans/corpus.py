@@ -375,10 +375,10 @@ def correlations(s, d):
     return j.agg(weighted("x", "y").alias("pearson"), weighted("rx", "ry").alias("spearman"))
 
 
-@query("WITH p AS (SELECT seq, " + S_TOKENS.format("english") + " AS e, " + S_TOKENS.format("hinglish") + " AS h FROM prepared_records), w AS (SELECT seq, lower(unnest(h)) AS t FROM p), a AS (SELECT seq, t, count(*) AS n FROM w GROUP BY ALL), v AS (SELECT seq, lower(unnest(e)) AS t FROM p), b AS (SELECT seq, t, count(*) AS m FROM v GROUP BY ALL) "
+@query("WITH p AS (SELECT seq, list_concat(" + S_TOKENS.format("english") + ", " + S_TOKENS.format("hindi") + ") AS e, " + S_TOKENS.format("hinglish") + " AS h FROM prepared_records), w AS (SELECT seq, lower(unnest(h)) AS t FROM p), a AS (SELECT seq, t, count(*) AS n FROM w GROUP BY ALL), v AS (SELECT seq, lower(unnest(e)) AS t FROM p), b AS (SELECT seq, t, count(*) AS m FROM v GROUP BY ALL) "
        "SELECT a.seq, sum(greatest(n - greatest(coalesce(m, 0), 1), 0))::BIGINT AS excess FROM a LEFT JOIN b ON a.seq = b.seq AND a.t = b.t GROUP BY a.seq HAVING sum(greatest(n - greatest(coalesce(m, 0), 1), 0)) > 0")
 def repeated_tokens(s, d):
-    """Tokens repeated beyond the source, counted within the row, no shuffle."""
+    """Tokens repeated beyond both sources together, counted within the row, no shuffle."""
     low = lambda c: F.transform(T.tokens(c), F.lower)
     n = lambda a, t: F.size(F.filter(a, lambda x: x == t))
 
@@ -386,7 +386,7 @@ def repeated_tokens(s, d):
         over = F.transform(F.array_distinct(v["h"]), lambda t: F.greatest(n(v["h"], t) - F.greatest(n(v["e"], t), F.lit(1)), F.lit(0)))
         return F.aggregate(over, F.lit(0), lambda a, x: a + x)
 
-    p = _prep(s, d).select("seq", T.let(F.struct(low("english").alias("e"), low("hinglish").alias("h")), excess).cast("long").alias("excess"))
+    p = _prep(s, d).select("seq", T.let(F.struct(F.concat(low("english"), low("hindi")).alias("e"), low("hinglish").alias("h")), excess).cast("long").alias("excess"))
     return p.where("excess > 0")
 
 

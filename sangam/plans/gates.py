@@ -302,3 +302,39 @@ def reference_audit(s, d):
     p = _prep(s, d).groupBy(F.md5(T.dedup_key("english")).alias("k"), F.md5(F.coalesce("hinglish", F.lit(""))).alias("r")).agg(F.count("*").alias("m"), F.max((F.trim(F.coalesce("hinglish", F.lit(""))) == "").cast("int")).alias("blank"))
     x = p.groupBy("k").agg(F.sum("m").alias("n"), F.count("*").alias("u"), F.max("blank").alias("blank"))
     return x.groupBy(F.col("n").alias("list_length")).agg(F.count("*").alias("sources"), F.count(F.when(F.col("u") < F.col("n"), 1)).alias("with_repeats"), F.sum(F.col("n") - F.col("u")).alias("repeats"), F.sum("blank").alias("with_blanks"))
+
+
+@query("WITH " + S_LANG + ", t AS (SELECT run_id, unnest(tags) AS tag FROM g), c AS (SELECT run_id, tag, count(*)::DOUBLE AS n FROM t WHERE tag NOT IN ('other', 'unk') GROUP BY ALL) SELECT run_id, count(*) AS languages, sum(n)::BIGINT AS words, round(CASE WHEN count(*) > 1 THEN (1 - sum(n * n) / (sum(n) * sum(n))) / ((count(*) - 1) * (sum(n * n) / (sum(n) * sum(n)))) ELSE 0.0 END, 9) AS m_index FROM c GROUP BY run_id".replace(", t AS (SELECT run_id, unnest", ", tt AS (SELECT run_id, unnest").replace("FROM t WHERE tag", "FROM tt WHERE tag"))
+def inventory_mixing(s, d):
+    """The multilingual index over a wider inventory of tags, neutral ones left out."""
+    g = codemix.inventory_m_index(_tagged(s, d), "tags", ["other", "unk"], "run_id")
+    return g.withColumn("m_index", F.round("m_index", 9))
+
+
+@query("WITH x AS (SELECT source, english, hindi, hinglish FROM raw_records JOIN pipeline_runs USING (run_id)) SELECT source, count(*) AS rows, count(*) FILTER (WHERE coalesce(trim(hindi, ' '), '') <> '') AS with_hindi, count(*) FILTER (WHERE coalesce(trim(hinglish, ' '), '') <> '') AS with_hinglish, avg(CASE WHEN coalesce(trim(english, ' '), '') <> '' THEN length(english) END)::DOUBLE AS english_chars, avg(CASE WHEN coalesce(trim(hinglish, ' '), '') <> '' THEN length(hinglish) END)::DOUBLE AS hinglish_chars, count(DISTINCT english) AS sources FROM x GROUP BY source")
+def corpus_profile(s, d):
+    """Each corpus's rows, filled sides and their mean lengths."""
+    x = _raw(s, d).join(F.broadcast(table(s, d, "pipeline_runs").select("run_id", "source")), "run_id")
+    has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    return x.groupBy("source").agg(F.count("*").alias("rows"), F.count(F.when(has("hindi"), 1)).alias("with_hindi"), F.count(F.when(has("hinglish"), 1)).alias("with_hinglish"), F.avg(F.when(has("english"), F.length("english"))).alias("english_chars"), F.avg(F.when(has("hinglish"), F.length("hinglish"))).alias("hinglish_chars"), F.countDistinct("english").alias("sources"))
+
+
+@query("WITH " + S_PREP + ", x AS (SELECT split, seq, length(coalesce(hinglish, '')) AS n, count(*) OVER (PARTITION BY group_id) * (group_id IS NOT NULL)::INT AS g FROM prep) SELECT split, arg_max(seq, (n, -seq)) AS longest, arg_min(seq, (n, seq)) AS shortest, arg_max(seq, (g, -seq)) AS of_biggest_group FROM x GROUP BY split")
+def notable_records(s, d):
+    """The longest, the shortest and one of the biggest group, ties to the first."""
+    p = _prep(s, d)
+    g = p.where("group_id is not null").groupBy("group_id").agg(F.count("*").alias("g"))
+    x = p.join(g, "group_id", "left").withColumn("n", F.length(F.coalesce("hinglish", F.lit("")))).withColumn("g", F.coalesce("g", F.lit(0)))
+    return x.groupBy("split").agg(F.max_by("seq", F.struct("n", -F.col("seq"))).alias("longest"), F.min_by("seq", F.struct("n", "seq")).alias("shortest"), F.max_by("seq", F.struct("g", -F.col("seq"))).alias("of_biggest_group"))
+
+
+@query("WITH c AS (SELECT event_type, date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) AS it, round(avg(value), 9) AS loss FROM events GROUP BY ALL), l AS (SELECT *, lag(loss) OVER (PARTITION BY event_type ORDER BY it) AS before, row_number() OVER (PARTITION BY event_type ORDER BY it DESC) AS back FROM c), b AS (SELECT event_type, arg_min(it, (loss, it)) AS best_iter, min(loss) AS best, arg_max(loss, it) AS last, coalesce(bool_and(loss > before) FILTER (WHERE back <= 3), false) AS diverged FROM l GROUP BY event_type) SELECT event_type, best_iter::INT AS best_iter, diverged, last > best * 1.05 AS overfit, (best_iter // 5 * 5)::INT AS checkpoint FROM b")
+def curve_advice(s, d):
+    """Whether a curve of daily means rises over its last three points, is past its best by a margin, and the last checkpoint (every five) at or before the best."""
+    e = table(s, d, "events")
+    first = e.agg(F.min(F.to_date("ts")).alias("first"))
+    c = e.crossJoin(F.broadcast(first)).groupBy("event_type", F.datediff(F.to_date("ts"), "first").alias("it")).agg(F.round(F.avg("value"), 9).alias("loss"))
+    w = W.partitionBy("event_type")  # a row per day
+    c = c.withColumn("before", F.lag("loss").over(w.orderBy("it"))).withColumn("back", F.row_number().over(w.orderBy(F.desc("it"))))
+    g = c.groupBy("event_type").agg(F.min_by("it", F.struct("loss", "it")).alias("best_iter"), F.min("loss").alias("best"), F.max_by("loss", "it").alias("last"), F.coalesce(F.bool_and(F.when(F.col("back") <= 3, F.col("loss") > F.col("before"))), F.lit(False)).alias("diverged"))
+    return g.select("event_type", "best_iter", "diverged", (F.col("last") > F.col("best") * 1.05).alias("overfit"), (F.floor(F.col("best_iter") / 5) * 5).cast("int").alias("checkpoint"))

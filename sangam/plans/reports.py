@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 from sangam.functions import text as T
 from sangam.operators import codemix, metrics, translit
 from sangam.plans.corpus import S_KEY, S_LANG, S_PREP, S_WORDS, _prep, _raw, _tagged
-from sangam.session import materialise, table
+from sangam.session import drop, materialise, release, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -265,7 +265,11 @@ def _em(s, d, rounds):
         y = x.join(t, ["h", "e"]).withColumn("w", F.col("ne") * F.col("p"))
         y = y.withColumn("share", F.col("nh") * F.col("w") / F.sum("w").over(W.partitionBy("seq", "h"))).where("share > 0")  # the words of one sentence
         c = materialise(y.groupBy("h", "e").agg(F.sum("share").alias("c")), "em")
-        t = materialise(c.join(c.groupBy("e").agg(F.sum("c").alias("t")), "e").select("h", "e", (F.col("c") / F.col("t")).alias("p")), "em")
+        before, t = t, materialise(c.join(c.groupBy("e").agg(F.sum("c").alias("t")), "e").select("h", "e", (F.col("c") / F.col("t")).alias("p")), "em")
+        drop(before)
+        drop(c)
+        release(s)
+    drop(x)
     return t
 
 
@@ -275,13 +279,6 @@ def em_first_round(s, d):
     return _em1(s, d).where("p >= 0.0123457").select("h", "e", F.round("p", 9).alias("p"))
 
 
-@query("WITH g AS (SELECT seq, english, hinglish FROM prepared_records), n AS (SELECT least(seq % 11 + 2, 12)::INT AS n FROM g) SELECT n, count(*) AS sentences, (sum((1 << n) - 2))::BIGINT AS candidates FROM n GROUP BY n")
-def candidate_counts(s, d):
-    """The closed form 2 to the n less 2 over made-up numbers of blocks; :func:`codemix_candidates` enumerates real ones."""
-    n = _prep(s, d).select(F.least(F.col("seq") % 11 + 2, F.lit(12)).cast("int").alias("n"))
-    return n.groupBy("n").agg(F.count("*").alias("sentences"), F.sum(F.expr("shiftleft(1L, n) - 2")).alias("candidates"))
-
-
 @query()
 def codemix_candidates(s, d):
     """Every mixed realisation of a sentence of 2 to 12 blocks, links of all rounds."""
@@ -310,14 +307,25 @@ def critical_path(s, d):
     return s.sql("WITH RECURSIVE net(task, need, days) AS (VALUES ('ingest', NULL, 2), ('clean', 'ingest', 3), ('split', 'clean', 2), ('gate', 'split', 1), ('eda', 'clean', 4), ('report', 'eda', 2), ('report', 'gate', 2)), f(task, finish) AS (SELECT task, days FROM net WHERE need IS NULL UNION ALL SELECT net.task, f.finish + net.days FROM net JOIN f ON net.need = f.task) SELECT task, max(finish) AS finish FROM f GROUP BY task")
 
 
-@query("WITH " + _S_EM + ", w AS (SELECT seq, e, unnest(h) AS h, unnest(range(1, len(h) + 1)) AS j FROM p), x AS (SELECT seq, j, h, unnest(list_prepend('', e)) AS e, unnest(range(0, len(e) + 1)) AS i FROM w), b AS (SELECT seq, j, i, row_number() OVER (PARTITION BY seq, j ORDER BY floor(t.p * 1000003 + 0.37) DESC, i) AS n FROM x JOIN t USING (h, e)), "
+_S_LINKS = ("WITH " + _S_EM + ", w AS (SELECT seq, e, unnest(h) AS h, unnest(range(1, len(h) + 1)) AS j FROM p), x AS (SELECT seq, j, h, unnest(list_prepend('', e)) AS e, unnest(range(0, len(e) + 1)) AS i FROM w), b AS (SELECT seq, j, i, row_number() OVER (PARTITION BY seq, j ORDER BY round(t.p, 9) DESC, i) AS n FROM x JOIN t USING (h, e)), "
        "l AS (SELECT seq, j, i FROM b WHERE n = 1), d AS (SELECT seq, i, lag(i) OVER (PARTITION BY seq ORDER BY j) AS before FROM l WHERE i > 0), k AS (SELECT seq, count(*) AS linked, 1 + count(*) FILTER (WHERE i < before) AS blocks FROM d GROUP BY seq) "
        "SELECT seq, count(*) AS words, coalesce(any_value(linked), 0) AS linked, coalesce(any_value(blocks), 0) AS blocks FROM l LEFT JOIN k USING (seq) GROUP BY seq")
+
+
+@query(_S_LINKS)
 def link_blocks(s, d):
-    """Links and blocks after one round, which SQL can check; :func:`link_blocks_full` has all rounds."""
+    """Links and blocks after one round, which SQL can check; :func:`link_blocks_full` has all rounds."""
     return _blocks(_links(s, d, 1))
 
 
+@query("SELECT blocks::INT AS blocks, count(*) AS sentences, sum((1 << blocks::INT) - 2)::BIGINT AS candidates FROM (" + _S_LINKS + ") WHERE blocks BETWEEN 2 AND 12 GROUP BY blocks")
+def candidate_totals(s, d):
+    """Realisations enumerated from the blocks of one round's links, counted; 2 to the n less 2 each."""
+    best = _links(s, d, 1).groupBy("seq").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "i"))), lambda a: a["i"]).alias("links"))
+    r = codemix.realisations(_pairs(s, d).join(best, "seq")).groupBy("seq", "blocks").agg(F.count("*").alias("n"))
+    return r.groupBy("blocks").agg(F.count("*").alias("sentences"), F.sum("n").alias("candidates"))
+
+
 @query()
 def link_blocks_full(s, d):
     """Links and blocks after the 12 rounds of the model."""
@@ -329,7 +337,7 @@ def _links(s, d, rounds):
     p = _pairs(s, d)
     w = p.select("seq", "e", F.posexplode("h").alias("j", "h"))
     x = w.select("seq", "j", "h", F.posexplode(F.concat(F.array(F.lit("")), "e")).alias("i", "e"))
-    v = F.floor(F.col("p") * 1000003 + 0.37) if rounds == 1 else F.round("p", 12)  # equal up to summation order
+    v = F.round("p", 9)  # equal up to the order of summation: a tie goes to the first link
     t = _em(s, d, rounds).select("h", "e", v.alias("p"))
     return x.join(t, ["h", "e"]).groupBy("seq", "j").agg((-F.max(F.struct("p", (-F.col("i")).alias("m")))["m"]).alias("i"))
 

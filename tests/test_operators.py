@@ -229,3 +229,13 @@ def test_dropped_tables_are_gone(spark):
     session.drop(t)
     session.drop(t)
     assert not os.path.exists(path)
+
+
+def test_matched_selection(spark):
+    rng = random.Random(4)
+    rows = [(q, m, f"t{q}-{m}", rng.random()) for q in range(300) for m in range(6)]
+    pool = spark.createDataFrame(rows, "seq long, mask int, text string, spf double")
+    got = codemix.select_matched(pool, 0.24, 2, sentences=100)
+    r = got.agg(F.count("*").alias("n"), F.countDistinct("seq").alias("s"), F.avg("spf").alias("m")).first()
+    assert (r.n, r.s) == (600, 300) and abs(r.m - 0.24) < 0.02
+    assert codemix.select_matched(pool.limit(0), 0.24, 1).count() == 0
