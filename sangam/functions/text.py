@@ -135,3 +135,18 @@ def parse_codes(x: Column | str, codes: list[str]) -> Column:
     known = F.array(*[F.lit(v) for v in codes])
     bad = (F.size(F.array_except(c, known)) > 0) | (F.array_contains(c, "OK") & (F.size(c) > 1))
     return F.when(bad, F.raise_error(F.concat(F.lit("bad codes: "), F.array_join(c, ","))).cast("array<string>")).otherwise(c)
+
+
+# The rules of the older normaliser, in order.
+LEGACY_RULES = (
+    (r"(.)\1{2,}", "$1"), ("aa+", "a"), ("ee+", "i"), ("ii+", "i"), ("oo+", "u"), ("uu+", "u"),
+    (r"n(?![\p{L}\p{N}_])", ""), ("h(?=[bcdfgjklmnpqrstvwxyz])", ""), (r"\s+", " "),
+)
+
+
+def legacy_normal(x: Column | str) -> Column:
+    """The older nine-rule normaliser, kept to audit what it damaged."""
+    v = F.regexp_replace(F.lower(F.coalesce(_c(x), F.lit(""))), r"[^\p{L}\p{N}_\s\x{0900}-\x{097F}]", " ")
+    for pattern, by in LEGACY_RULES:
+        v = F.regexp_replace(v, pattern, by)
+    return F.trim(v)

@@ -116,13 +116,33 @@ def eval_folds(s, d):
     return _raw(s, d).select("seq", F.md5(T.fold_eval("hinglish")).alias("folded"), F.md5(T.fold_vowels(F.lower(F.coalesce("hinglish", F.lit(""))))).alias("vowels"))
 
 
-@query()
+def _squashed(x: str, letters: str) -> str:
+    """SQL for runs of three or more of one letter made one: there are no back-references there."""
+    for c in letters:
+        x = f"regexp_replace({x}, '{c}{{3,}}', '{c}', 'g')"
+    return x
+
+
+_AZ = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("WITH s AS (SELECT seq, hinglish AS h, " + _squashed("hinglish", _AZ + _AZ.upper()) + " AS q FROM raw_records WHERE hinglish IS NOT NULL) SELECT seq, (length(h) - length(q))::INT AS cut FROM s WHERE h <> q")
 def letter_runs(s, d):
     """P10: texts with a letter three or more times in a row, and how many characters go."""
     t = _raw(s, d).select("seq", "hinglish", T.squash_runs(F.coalesce("hinglish", F.lit(""))).alias("squashed"))
     return t.where("hinglish <> squashed").select("seq", (F.length("hinglish") - F.length("squashed")).alias("cut"))
 
 
+_L0 = "regexp_replace(lower(coalesce(hinglish, '')), '[^\\p{L}\\p{N}_\\s\\x{0900}-\\x{097F}]', ' ', 'g')"
+
+
+@query("WITH a AS (SELECT seq, " + _squashed(_L0, _AZ + "0123456789_ ") + " AS v FROM raw_records WHERE hinglish IS NULL OR NOT regexp_matches(hinglish, '[^\\x00-\\x7F]')), b AS (SELECT seq, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, 'aa+', 'a', 'g'), 'ee+', 'i', 'g'), 'ii+', 'i', 'g'), 'oo+', 'u', 'g'), 'uu+', 'u', 'g') AS v FROM a) SELECT seq, md5(trim(regexp_replace(regexp_replace(regexp_replace(v, 'n([^\\p{L}\\p{N}_]|$)', '\\1', 'g'), 'h([bcdfgjklmnpqrstvwxyz])', '\\1', 'g'), '\\s+', ' ', 'g'), ' ')) AS legacy_md5 FROM b")
+def legacy_normal(s, d):
+    """The older normaliser over ASCII texts."""
+    t = _raw(s, d).where("hinglish is null or not hinglish rlike '[^\\\\x00-\\\\x7F]'")
+    return t.select("seq", F.md5(T.legacy_normal("hinglish")).alias("legacy_md5"))
+
+
 @query("WITH " + S_ROUTED + ", n AS (SELECT reason, count(*) AS c FROM r GROUP BY reason), s AS (SELECT * FROM (VALUES (1, 'missing_field'), (2, 'not_romanized'), (3, 'untranslated'), (4, 'length_bounds'), (5, 'length_ratio'), (6, 'exact_duplicate')) v(step, filter_name)), "
        "x AS (SELECT step, filter_name, coalesce(c, 0) AS removed, (SELECT count(*) FROM r) - sum(coalesce(c, 0)) OVER (ORDER BY step) AS rows_out FROM s LEFT JOIN n ON s.filter_name = n.reason) "
        "SELECT step, filter_name, (rows_out + removed)::BIGINT AS rows_in, removed::BIGINT AS removed, rows_out::BIGINT AS rows_out, CASE WHEN rows_out + removed > 0 THEN 100.0::DOUBLE * removed::DOUBLE / (rows_out + removed)::DOUBLE ELSE 0.0 END AS pct_removed FROM x")

@@ -290,3 +290,20 @@ def ledger_plan(s, d):
     zero = lambda v: F.coalesce(v, F.lit(0)).alias(v)
     projected = F.when(c("seeds") > 0, c("spent") / c("seeds") * 3).otherwise(F.greatest("planned", F.coalesce("spent", F.lit(0.0))))
     return p.join(r, "source", "full_outer").select("source", "planned", F.coalesce("spent", F.lit(0.0)).alias("spent"), F.coalesce("failed_time", F.lit(0.0)).alias("failed_time"), zero("ok"), zero("failed"), zero("running"), F.round(projected, 6).alias("projected"))
+
+
+@query("WITH " + S_ITEMS + ", b AS (SELECT system, edits::DOUBLE / chars AS rate FROM best), m AS (SELECT system, round(median(rate), 9) AS med FROM b GROUP BY system) SELECT system, med, count(*) AS items, avg(CASE WHEN rate <= 0.6 THEN 1.0 ELSE 0.0 END) AS acceptable, count(*) FILTER (WHERE rate <= 0.6 AND round(rate, 9) > med) AS artifacts FROM b JOIN m USING (system) GROUP BY system, med")
+def artifact_rates(s, d):
+    """Acceptable outputs that nevertheless score worse than their system's median: likely faults of the references."""
+    b = materialise(_best(s, d).select("system", (F.col("edits") / F.col("chars")).alias("rate")), "rates")
+    m = b.groupBy("system").agg(F.round(F.median("rate"), 9).alias("med"))
+    ok = F.col("rate") <= 0.6
+    return b.join(F.broadcast(m), "system").groupBy("system", "med").agg(F.count("*").alias("items"), F.avg(F.when(ok, 1.0).otherwise(0.0)).alias("acceptable"), F.count(F.when(ok & (F.round("rate", 9) > F.col("med")), 1)).alias("artifacts"))
+
+
+@query("WITH e AS (SELECT event_type, from_json(props, '{\"k\": \"BIGINT\"}') AS m FROM events WHERE json_valid(props)), k AS (SELECT event_type, unnest(json_keys(props)) AS key FROM events WHERE json_valid(props)) SELECT event_type, key, count(*) AS n FROM k GROUP BY ALL".replace("e AS (SELECT event_type, from_json(props, '{\"k\": \"BIGINT\"}') AS m FROM events WHERE json_valid(props)), ", ""))
+def monitor_maps(s, d):
+    """Keys of the nested maps of monitor records, rolled up by type."""
+    m = F.from_json("props", "map<string,string>")
+    e = table(s, d, "events").select("event_type", F.explode(F.map_keys(m)).alias("key"))
+    return e.groupBy("event_type", "key").agg(F.count("*").alias("n"))

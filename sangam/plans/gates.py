@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from sangam.functions import text as T
 from sangam.operators import codemix, gates, neardup
+from sangam.plans import corpus
 from sangam.plans.corpus import _S_NEAR, LEXICON, S_KEY, S_LEX, S_NORM, S_PREP, S_SCRIPT, S_SPANS, S_LANG, S_WORDS, _exploded, _lexicon, _prep, _raw, _tagged
 from sangam.session import materialise, table
 from sangam.sources import sinks
@@ -338,3 +339,40 @@ def curve_advice(s, d):
     c = c.withColumn("before", F.lag("loss").over(w.orderBy("it"))).withColumn("back", F.row_number().over(w.orderBy(F.desc("it"))))
     g = c.groupBy("event_type").agg(F.min_by("it", F.struct("loss", "it")).alias("best_iter"), F.min("loss").alias("best"), F.max_by("loss", "it").alias("last"), F.coalesce(F.bool_and(F.when(F.col("back") <= 3, F.col("loss") > F.col("before"))), F.lit(False)).alias("diverged"))
     return g.select("event_type", "best_iter", "diverged", (F.col("last") > F.col("best") * 1.05).alias("overfit"), (F.floor(F.col("best_iter") / 5) * 5).cast("int").alias("checkpoint"))
+
+
+@query("WITH " + S_PREP + " SELECT run_id, md5(" + S_KEY.format("english") + ") AS source, min(seq) AS first_seq, count(*) AS renderings FROM prep WHERE split <> 'train' GROUP BY ALL")
+def first_seen(s, d):
+    """Where each source of a run is seen first, outside train."""
+    p = _prep(s, d).where("split <> 'train'")
+    return p.groupBy("run_id", F.md5(T.dedup_key("english")).alias("source")).agg(F.min("seq").alias("first_seq"), F.count("*").alias("renderings"))
+
+
+@query("WITH " + _SETS + ", un AS (SELECT id FROM sets WHERE splits NOT LIKE '%train%'), bm AS (SELECT u.id, max(jaccard) AS best FROM un u JOIN near ON u.id IN (near.a, near.b) JOIN sets o ON o.id = CASE WHEN near.a = u.id THEN near.b ELSE near.a END WHERE o.splits LIKE '%train%' GROUP BY u.id) SELECT un.id, round(bm.best, 9) AS best FROM un LEFT JOIN bm USING (id)")
+def best_near_match(s, d):
+    """Keys outside train with no equal there, and the best near one of train, from the similarity join instead of all pairs."""
+    sets = materialise(gates.split_sets(_prep(s, d), "english", "split"), "sets")
+    keys = sets.where("key <> ''").select("id", "key", F.when(F.col("splits").contains("train"), 1).otherwise(2).alias("side"))
+    p = neardup.near_pairs(materialise(keys, "keys"), across=True)
+    out = sets.where(~F.col("splits").contains("train")).select("id")
+    both = p.select(F.col("a").alias("id"), "jaccard").unionAll(p.select(F.col("b").alias("id"), "jaccard")).groupBy("id").agg(F.round(F.max("jaccard"), 9).alias("best"))
+    return out.join(both, "id", "left")
+
+
+_PAT = {"tags": "[A-Z]{1,3}-[0-9]+", "latin": "[a-zA-Z]{3,}", "digits": "[0-9]+"}
+
+
+@query("WITH x AS (SELECT run_id, " + ", ".join(f"list_distinct(list_transform(regexp_extract_all(coalesce(english, ''), '{v}'), lambda t: lower(t))) AS a_{k}, list_distinct(list_transform(regexp_extract_all(coalesce(hinglish, ''), '{v}'), lambda t: lower(t))) AS b_{k}" for k, v in _PAT.items()) + " FROM raw_records) SELECT run_id, " + ", ".join(f"round(avg(CASE WHEN len(a_{k}) > 0 THEN len(list_intersect(a_{k}, b_{k}))::DOUBLE / len(a_{k}) END), 9) AS {k}_kept" for k in _PAT) + ", avg(CASE WHEN len(list_filter(b_tags, lambda t: NOT list_contains(a_tags, t))) > 0 THEN 1.0 ELSE 0.0 END) AS invented_tags FROM x GROUP BY run_id")
+def pattern_overlap(s, d):
+    """Share of codes, Latin words and numbers of the source kept, and codes it never had."""
+    of = lambda c, v: F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(v), F.lit(0)), F.lower))
+    x = _raw(s, d).select("run_id", *[of(c, v).alias(f"{n}_{k}") for k, v in _PAT.items() for c, n in (("english", "a"), ("hinglish", "b"))])
+    kept = [F.round(F.avg(F.when(F.size(f"a_{k}") > 0, F.size(F.array_intersect(f"a_{k}", f"b_{k}")) / F.size(f"a_{k}"))), 9).alias(f"{k}_kept") for k in _PAT]
+    return x.groupBy("run_id").agg(*kept, F.avg(F.when(F.size(F.array_except("b_tags", "a_tags")) > 0, 1.0).otherwise(0.0)).alias("invented_tags"))
+
+
+@query("SELECT split, round(avg(CASE WHEN r.excess > 0 THEN 1.0 ELSE 0.0 END), 9) AS repeated, round(sum(o.inversions)::DOUBLE / sum(o.pairs), 9) AS inverted FROM (" + "SELECT seq, lower(trim(split)) AS split FROM prepared_records" + ") p LEFT JOIN (" + corpus.SQL["repeated_tokens"] + ") r USING (seq) LEFT JOIN (" + corpus.SQL["order_inversions"] + ") o USING (seq) GROUP BY split")
+def batch_quality(s, d):
+    """Shares of defects of a batch: rows with repeated tokens, shared words out of order."""
+    p = _prep(s, d).select("seq", "split").join(corpus.repeated_tokens(s, d), "seq", "left").join(corpus.order_inversions(s, d), "seq", "left")
+    return p.groupBy("split").agg(F.round(F.avg(F.when(F.col("excess") > 0, 1.0).otherwise(0.0)), 9).alias("repeated"), F.round(F.sum("inversions") / F.sum("pairs"), 9).alias("inverted"))

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 from sangam.functions import text as T
 from sangam.operators import codemix, metrics, translit
 from sangam.plans.corpus import S_KEY, S_LANG, S_PREP, S_WORDS, _prep, _raw, _tagged
-from sangam.session import drop, materialise, release, table
+from sangam.session import drop, materialise, table
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -268,7 +268,6 @@ def _em(s, d, rounds):
         before, t = t, materialise(c.join(c.groupBy("e").agg(F.sum("c").alias("t")), "e").select("h", "e", (F.col("c") / F.col("t")).alias("p")), "em")
         drop(before)
         drop(c)
-        release(s)
     drop(x)
     return t
 

@@ -69,11 +69,6 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished queries now: it does so when the driver collects garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def _delete(path: str, spark: SparkSession) -> None:
     local = path.removeprefix("file://")
     if local.startswith("/"):

@@ -104,3 +104,13 @@ def test_synthetic_corpus(spark):
 
     got = {r.filter_name: r.removed for r in clean.attrition(clean.route(a)).collect()}
     assert all(got[k] > 0 for k in clean.FILTERS)
+
+
+def test_sql_folder(spark, tmp_path):
+    from sangam.plans import runner
+
+    put(tmp_path, "02_b.sql", "SELECT 2 AS n, CAST(NULL AS STRING) AS s;\n")
+    put(tmp_path, "01_a.sql", "SELECT 1 AS n")
+    put(tmp_path, "notes.txt", "no query")
+    got = list(runner.run_folder(spark, str(tmp_path)))
+    assert [n for n, _ in got] == ["01_a", "02_b"] and runner.shown(got[1][1]) == "n  s\n2"
