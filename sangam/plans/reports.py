@@ -249,7 +249,7 @@ def _em1(s, d):
     return c.join(t, "e").select("h", "e", (F.col("c") / F.col("t")).alias("p"))
 
 
-ROUNDS = 12  # of the reference's alignment
+ROUNDS = 12  # of the alignment model
 
 
 def _em(s, d, rounds):
