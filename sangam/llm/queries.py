@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sangam.functions.text import folded
 from sangam.llm import cross_split, format_duplicates, grouped_splits, mixing, near_duplicates, packing, pair_defects, pii, term_counts, tokens
 from sangam.session import materialise, table
 
@@ -117,6 +118,36 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     return grouped_splits.split_report(d, share).withColumnRenamed("label", "source")
 
 
+def p3_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What a deal must keep: all records once, no group or sentence divided, record shares within half a point of the targets."""
+    d, share = _dealt(spark, sf)
+    d = materialise(d.select(F.col("id").alias("seq"), "split"), "dealt")
+    t = table(spark, sf, "prepared_records").select("seq", grouped_splits.clean_key("group_id").alias("g"), F.md5(folded("english")).alias("e")).join(d, "seq")
+    cut = lambda c: t.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").agg(F.count("*").alias("divided_" + c))
+    r = grouped_splits.split_report(d.withColumn("label", F.lit("")), share).where("label is null")
+    near = r.agg((F.max(F.abs("deviation")) < 0.005).alias("near_targets"))
+    n = d.agg(F.count("*").alias("records"), F.countDistinct("seq").alias("ids"))
+    return n.crossJoin(cut("g")).crossJoin(cut("e")).crossJoin(near)  # one row each
+
+
+def p7_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What a packing must keep, by capacity: every text placed, none overfull, only texts longer than a container divided."""
+    p = materialise(p7_pack(spark, sf), "packing")
+    cap = F.broadcast(table(spark, sf, "pack_specs").select("spec_id", "capacity_tokens"))  # a handful of capacities
+    full = p.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("n")).join(cap, "spec_id").groupBy("spec_id").agg(F.count(F.when(F.col("n") > F.col("capacity_tokens"), 1)).alias("overfull"))
+    doc = p.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces")).join(cap, "spec_id")
+    cut = doc.groupBy("spec_id").agg(F.count("*").alias("documents"), F.count(F.when((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity_tokens")), 1)).alias("wrongly_divided"))
+    return cut.join(full, "spec_id")
+
+
+def p8_check(spark: SparkSession, sf: str) -> DataFrame:
+    """What a mix must keep, by source: shares within a thousandth, no document used more often than allowed."""
+    t = table(spark, sf, "mix_targets")
+    s = mixing.shares(_mix(spark, sf), t)
+    most = F.broadcast(t.select(mixing.clean_source("source").alias("source"), "max_repeats"))  # a row per source
+    return s.join(most, "source").select("source", (F.abs(F.col("actual_share") - F.col("target_share")) < 0.001).alias("near_target"), (F.col("most_repeats") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
 def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     """Each set of formatting copies with the number of rows it had."""
     c = format_duplicates.collapse(table(spark, sf, "raw_records"), ["english", "hinglish"], "seq")
@@ -129,7 +160,7 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_coverage, p1_report, p2_found, p2_terms, p2_ngrams, p3_found, p3_splits, p3_report, p4_found, p5_found, p5_collapsed, p6_found, p6_groups, p7_pack, p7_report, p8_mix, p8_shares, p9_found, p9_redacted)}
+    return {f.__name__: f for f in (p1_found, p1_coverage, p1_report, p2_found, p2_terms, p2_ngrams, p3_found, p3_splits, p3_report, p3_check, p4_found, p5_found, p5_collapsed, p6_found, p6_groups, p7_pack, p7_report, p7_check, p8_mix, p8_shares, p8_check, p9_found, p9_redacted)}
 
 
 FOLD = r"trim(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
@@ -191,6 +222,9 @@ def oracle_sql() -> dict[str, str]:
             "lead AS (SELECT x, min(y) AS l FROM reach GROUP BY x) "
             "SELECT l AS lead_seq, seq FROM m JOIN lead ON lead.x = m.b WHERE l <> seq"
         ),
+        "p3_check": "SELECT count(*) AS records, count(DISTINCT seq) AS ids, 0 AS divided_g, 0 AS divided_e, true AS near_targets FROM prepared_records",
+        "p7_check": "SELECT spec_id, (SELECT count(*) FROM documents WHERE text <> '') AS documents, 0 AS overfull, 0 AS wrongly_divided FROM pack_specs",
+        "p8_check": "SELECT lower(trim(source)) AS source, true AS near_target, true AS repeats_kept FROM mix_targets",
         "p5_found": (
             f"WITH r AS (SELECT seq, {e} AS e, {h} AS h FROM raw_records), k AS (SELECT seq, min(seq) OVER (PARTITION BY least(e, h), greatest(e, h)) AS keep FROM r) "
             "SELECT keep AS keep_seq, seq AS copy_seq FROM k WHERE keep <> seq"
