@@ -1,12 +1,14 @@
 import datetime as dt
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from sangam.operators import buckets, clean, codemix, metrics, neardup, shingles, similar, translit
 from sangam.plans import reports
+from sangam.session import drop, materialise
 from sangam.sources import readers, sinks
 from sangam.streaming.monitor import daily_counts
 
@@ -239,3 +241,17 @@ def test_matched_selection(spark):
     r = got.agg(F.count("*").alias("n"), F.countDistinct("seq").alias("s"), F.avg("spf").alias("m")).first()
     assert (r.n, r.s) == (600, 300) and abs(r.m - 0.24) < 0.02
     assert codemix.select_matched(pool.limit(0), 0.24, 1).count() == 0
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    own = lambda: {str(f) for f in env.blockManager().diskBlockManager().getAllFiles().mkString("|").split("|") if "shuffle_" in f}
+    before = own()
+    t = materialise(spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "kept")
+    for _ in range(50):
+        if own() <= before:
+            break
+        time.sleep(0.1)
+    assert own() <= before
+    assert sorted(r.n for r in t.collect()) == [714] * 5 + [715] * 2
+    drop(t)
