@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from sangam.operators import buckets, clean, codemix, metrics, neardup, shingles, similar, translit
+from sangam.operators import align, buckets, clean, codemix, metrics, neardup, shingles, similar, translit
 from sangam.plans import reports
 from sangam.session import drop, materialise
 from sangam.sources import readers, sinks
@@ -123,6 +123,27 @@ def test_all_rounds_of_the_alignment(spark, tmp_path):
     assert per == {n: 2**b - 2 if b > 1 else 0 for n, (_, _, b) in want.items()} and sum(per.values()) > 0
 
 
+def test_packed_links_equal_the_rounds_as_tables(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, [f"e{int(rng.random() ** 3 * 30)}" for _ in range(rng.randrange(9))], [f"h{int(rng.random() ** 3 * 40)}" for _ in range(rng.randrange(9))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "seq long, e array<string>, h array<string>")
+    for name, value in (("BLOCK", 50), ("BUCKET_WORDS", 40), ("CELLS", 64)):  # many blocks, buckets and passes
+        monkeypatch.setattr(align, name, value)
+    t = {}
+    for rounds in (1, 2):
+        c, tot = {}, {}
+        for _, e, h in rows:
+            for w in h:
+                z = sum(t.get((w, v), 0.0) if t else 1.0 for v in ["", *e])
+                for v in ["", *e]:
+                    q = (t.get((w, v), 0.0) if t else 1.0) / z
+                    c[w, v], tot[v] = c.get((w, v), 0.0) + q, tot.get(v, 0.0) + q
+        t = {k: v / tot[k[1]] for k, v in c.items()}
+        want = {q: [max(range(len(e) + 1), key=lambda i: (round(t[w, ["", *e][i]], 9), -i)) for w in h] for q, e, h in rows if h}
+        assert {r.seq: r.links for r in align.links(df, rounds).collect()} == want
+    assert align.links(df.where("size(h) = 0"), 2).collect() == []
+
+
 def test_realisations():
     e, h, links = "a b c d".split(), "w x y z".split(), [3, 0, 1, 2]  # c . | a b, and d goes to c
     assert codemix.spans(4, links) == [([2, 3], [0, 1]), ([0, 1], [2, 3])]
