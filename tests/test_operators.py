@@ -3,6 +3,7 @@ import os
 import random
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,17 @@ def test_packed_links_equal_the_rounds_as_tables(spark, monkeypatch):
     assert align.links(df.where("size(h) = 0"), 2).collect() == []
 
 
+def test_link_blocks_make_no_row_a_word_pair(spark, tmp_path):
+    rows = [(0, "red lamp", "lal deepak"), (1, "red door", "lal darwaza"), (2, "lamp is red", "lal deepak lal"), (3, "", "akela"), (4, "x", None), (5, None, "lal")]
+    spark.createDataFrame([(q, "train", "g", e, h) for q, e, h in rows], "seq long, split string, group_id string, english string, hinglish string").coalesce(1).write.parquet(str(tmp_path / "prepared_records.parquet"))
+    df = reports.link_blocks(spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW prepared_records AS SELECT * FROM '{tmp_path}/prepared_records.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect())) == sorted(c.execute(reports.SQL["link_blocks"]).fetchall())
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, reports.candidate_totals(spark, str(tmp_path)).collect())) == sorted(c.execute(reports.SQL["candidate_totals"]).fetchall())
+
+
 def test_realisations():
     e, h, links = "a b c d".split(), "w x y z".split(), [3, 0, 1, 2]  # c . | a b, and d goes to c
     assert codemix.spans(4, links) == [([2, 3], [0, 1]), ([0, 1], [2, 3])]
