@@ -3,14 +3,17 @@
 Generators propose overlapping spans for e-mail addresses, phone numbers, identity
 numbers, street addresses and names.  A forest per type scores each span by its format
 and context.  The forests, the vocabulary and the character model of names are fitted on
-a bounded sample of the texts: spans whose context names them (a label such as "passport"
-or "tracking number", a title, a signature) serve as labelled examples, each also with its
-context hidden, so format alone decides where no label stands beside a span.
+all texts: spans whose context names them (a label such as "passport" or "tracking
+number", a title, a signature) serve as labelled examples, each also with its context
+hidden, so format alone decides where no label stands beside a span.  Words and examples
+are counted where the texts lie; spans are made once, written, and read again for the
+examples and for the answers.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import math
 import re
 from collections import Counter
@@ -22,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sangam.llm.boosting import Boosted
+from sangam.session import drop, materialise
 
-SAMPLE = 4_000  # texts the models are fitted on, about so many, chosen by a hash of the id
 TYPES = ["email", "phone", "id_number", "address", "name"]
 
 # Words of addresses.
@@ -112,7 +115,7 @@ def _addresses(text: str, low: str) -> Iterator[re.Match]:
 
 
 class Span:
-    __slots__ = ("kind", "start", "end", "x", "label", "score")
+    __slots__ = ("kind", "start", "end", "x", "label", "score", "first")
 
     def __init__(self, kind, start, end, x, label=None):
         self.kind, self.start, self.end, self.x, self.label, self.score = kind, start, end, x, label, 0.0
@@ -133,10 +136,10 @@ class _Good(dict):
 
 
 class Model:
-    """Vocabulary, character model and forests; everything is bounded by the sample."""
+    """Vocabulary, character model and forests; they grow with the vocabulary, not with the rows."""
 
     def __init__(self) -> None:
-        self.df: dict[str, float] = {}  # share of sampled texts a word stands in, where at least a few
+        self.df: dict[str, float] = {}  # share of all texts a word stands in, where at least a few
         self.chars: dict[str, float] = {}  # log odds of a word's letter triples being a name's
         self.cities: set[str] = set()
         self.places: set[str] = set()
@@ -259,13 +262,16 @@ class Model:
     # -- selection
     def mentions(self, texts: list[str | None]) -> list[list[Span]]:
         """Accepted spans of each text, in order, none overlapping."""
-        found = [self.spans(t) if t and t.strip() else [] for t in texts]
+        return self.selected([self.spans(t) if t and t.strip() else [] for t in texts])
+
+    def selected(self, found: list[list[Span]]) -> list[list[Span]]:
+        """The same of the spans of each text."""
         for kind, forest in self.forests.items():
             group = [s for one in found for s in one if s.kind == kind]
             if group:
                 p = forest.predict(np.array([s.x for s in group], np.float64))
-                for s, v in zip(group, p):
-                    s.score = v / forest.threshold if v >= forest.threshold else 0.0
+                for s, v in zip(group, p):  # odds over those at the threshold, so that types with other thresholds compare
+                    s.score = v / max(1 - v, 1e-12) * (1 - forest.threshold) / forest.threshold if v >= forest.threshold else 0.0
         out = []
         for one in found:
             kept: list[Span] = []  # in order, none overlapping
@@ -284,66 +290,157 @@ class Model:
 _CONTEXT = {"phone": (12, 18), "id_number": (12, 18), "name": (8, 9), "email": (5,), "address": ()}
 
 
-def fit(texts: list[str | None]) -> Model:
-    """Fit on a sample of texts."""
+_WIDTH = {"email": 9, "phone": 20, "id_number": 20, "address": 9, "name": 22}
+_ANCHORED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Shri|naam|signed,|regards -|speaker \(|Dear|by|meet|for|am) ?((?:[A-Z][a-z]+ )(?:[A-Z]\.? )?[A-Z][a-z]+)\b")
+_PLACED = re.compile(rf"\b([^\W\d_]{{4,}}) {_PLACE}\b")
+_COUNTS = ("texts", "word", "city", "place", "anchored")
+FLUSH = 400_000  # words counted before the counts are handed on
+
+
+def _count(t: str, into: Counter) -> None:
+    """Counts one text's words, cities, places and words of anchored names, as (what, word)."""
+    low = t.lower()
+    into["texts", ""] += 1
+    into.update(("word", w) for w in set(_TOKEN.findall(low)))
+    for x in _addresses(low, low):
+        if x.group("pin") and x.group("city").strip(" ,\n"):
+            into["city", x.group("city").strip(" ,\n")] += 1
+    into.update(("place", w) for w in _PLACED.findall(low))
+    for x in _ANCHORED.findall(t):
+        into.update(("anchored", w.lower()) for w in x.split() if len(w) > 3)
+
+
+def _vocabulary(counts: Iterator[tuple[str, str, int]]) -> Model:
+    """The model without its forests, of the counts of all texts; words of fewer than 3 texts may be left out if they are under a hundredth."""
+    got: dict[str, dict[str, int]] = {k: {} for k in _COUNTS}
+    for what, w, k in counts:
+        got[what][w] = k
     m = Model()
-    texts = [t for t in texts if t and t.strip()]
-    df, cities, places = Counter(), Counter(), Counter()
-    for t in texts:
-        low = t.lower()
-        df.update({x.group() for x in _TOKEN.finditer(low)})
-        for x in ADDRESS.finditer(low):
-            if x.group("pin") and x.group("city").strip(" ,\n"):
-                cities[x.group("city").strip(" ,\n")] += 1
-        places.update(x.group(1) for x in re.finditer(rf"\b([^\W\d_]{{4,}}) {_PLACE}\b", low))
-    n = max(len(texts), 1)
+    df, n = got["word"], max(got["texts"].get("", 0), 1)
     m.df = {w: c / n for w, c in df.items() if c >= 3}
-    m.cities = {c for c, k in cities.items() if k >= 2 and c not in PLACE_WORDS}
-    anchored = Counter()
-    for t in texts:
-        for x in re.finditer(r"\b(?:Mr|Mrs|Ms|Dr|Shri|naam|signed,|regards -|speaker \(|Dear|by|meet|for|am) ?((?:[A-Z][a-z]+ )(?:[A-Z]\.? )?[A-Z][a-z]+)\b", t):
-            for w in x.group(1).split():
-                if len(w) > 3 and not m.common(w):
-                    anchored[w.lower()] += 1
-    m.places = {w for w, k in places.items() if k >= 1 and w not in anchored}
+    m.cities = {c for c, k in got["city"].items() if k >= 2 and c not in PLACE_WORDS}
+    anchored = {w for w in got["anchored"] if not m.common(w)}
+    m.places = {w for w in got["place"] if w not in anchored}
     yes, no = Counter(), Counter()
     for w in anchored:
         yes.update(f"^^{w}$$"[i : i + 3] for i in range(len(w) + 2))
-    for w, c in df.items():
-        if (c > 0.01 * n or w in m.places) and w not in anchored and w.isascii() and len(w) > 2:
+    for w in m.places | {w for w, c in df.items() if c > 0.01 * n}:
+        if w not in anchored and w.isascii() and len(w) > 2:
             no.update(f"^^{w}$$"[i : i + 3] for i in range(len(w) + 2))
     ty, tn = sum(yes.values()) + 1.0, sum(no.values()) + 1.0
     for g in yes.keys() | no.keys():
         m.chars[g] = max(-3.0, min(3.0, math.log((yes[g] + 0.3) / ty * tn / (no[g] + 0.3))))
-    data: dict[str, tuple[list, list]] = {k: ([], []) for k in TYPES}
+    return m
+
+
+def _examples(sure: list[Span]) -> Iterator[tuple[str, int, tuple[float, ...]]]:
+    """(kind, label, features) of the spans of one text whose context tells what they are."""
+    names = [s for s in sure if s.kind == "name" and s.label == 1]
+    for s in sure:
+        label = s.label
+        if s.kind == "name" and label is None and any(s.start < k.end and s.end > k.start for k in names):
+            label = 0  # another cut of a span known to be a name
+        if label is None:
+            continue
+        yield s.kind, label, tuple(map(float, s.x))
+        if label == 1 and _CONTEXT[s.kind]:
+            yield s.kind, 1, tuple(0.0 if k in _CONTEXT[s.kind] else float(v) for k, v in enumerate(s.x))
+
+
+def _forests(m: Model, examples: Iterator[tuple[str, int, tuple[float, ...], int]]) -> None:
+    """Fits the forests on distinct examples (kind, label, features, times met), in whatever order."""
+    of: dict[str, list] = {k: [] for k in TYPES}
+    for kind, y, x, n in examples:
+        of[kind].append((tuple(x), y, n))
+    for k, rows in of.items():
+        rows.sort()
+        X, y, n = zip(*rows) if rows else ((), (), ())
+        m.forests[k] = Boosted().fit(np.array(X, np.float64).reshape(-1, _WIDTH[k]), np.array(y, np.float64), times=np.array(n, np.int64))
+
+
+def fit(texts: list[str | None]) -> Model:
+    """Fit on texts in memory; :func:`fitted` does the same on a table."""
+    texts = [t for t in texts if t and t.strip()]
+    counts: Counter = Counter()
     for t in texts:
-        sure = [s for s in m.spans(t)]
-        names = [s for s in sure if s.kind == "name" and s.label == 1]
-        for s in sure:
-            if s.kind == "name" and s.label is None and any(s.start < k.end and s.end > k.start for k in names):
-                s.label = 0  # another cut of a span known to be a name
-            if s.label is None:
-                continue
-            X, y = data[s.kind]
-            X.append(s.x)
-            y.append(s.label)
-            if s.label == 1 and _CONTEXT[s.kind]:
-                hidden = list(s.x)
-                for k in _CONTEXT[s.kind]:
-                    hidden[k] = 0.0
-                X.append(hidden)
-                y.append(1)
-    width = {"email": 9, "phone": 20, "id_number": 20, "address": 9, "name": 22}
-    for k, (X, y) in data.items():
-        m.forests[k] = Boosted().fit(np.array(X, np.float64).reshape(-1, width[k]), np.array(y, np.float64))
+        _count(t, counts)
+    m = _vocabulary((*k, n) for k, n in counts.items())
+    _forests(m, ((*k, n) for k, n in Counter(x for t in texts for x in _examples(m.spans(t))).items()))
     return m
 
 
-def sample_texts(df: DataFrame, id_col: str, text: str, limit: int) -> list[str]:
-    n = df.count()
-    h = F.abs(F.xxhash64(F.col(id_col), F.lit(9)) / F.lit(2.0**63))
-    rows = df.select(id_col, text).where(h <= min(1.0, limit / max(n, 1))).collect()
-    return [r[1] for r in sorted(rows, key=lambda r: (r[0] is None, r[0]))]
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    into: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in into], pa.string()), pa.array([k[1] for k in into], pa.string()), pa.array(into.values(), pa.int64())], names=["what", "w", "n"])
+
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            if t and t.strip():
+                _count(t, into)
+                if len(into) > FLUSH:
+                    yield out()
+                    into.clear()
+    if into:
+        yield out()
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    into: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        kind, y, x = zip(*into)
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64())), pa.array(into.values(), pa.int64())], names=["kind", "y", "x", "n"])
+
+    for b in batches:
+        for s in b.column(0).to_pylist():
+            into.update(_examples(_read(s)))
+            if len(into) > FLUSH // 10:
+                yield out()
+                into.clear()
+    if into:
+        yield out()
+
+
+def _read(spans: str) -> list[Span]:
+    """Spans of one text as :func:`fitted` writes them, with the place of their first letter or digit."""
+    out = []
+    for kind, start, end, label, x, first in json.loads(spans):
+        s = Span(kind, start, end, x, label)
+        s.first = first
+        out.append(s)
+    return out
+
+
+def fitted(df: DataFrame, id_col: str, text: str, keep_text: bool = False) -> tuple[Model, DataFrame]:
+    """(model fitted on all texts, written table (id, text, spans) of their spans as JSON).
+
+    Without ``keep_text`` the text is left out, and so are texts without spans.
+    """
+    words = df.select(text).mapInArrow(_counted, "what string, w string, n long").groupBy("what", "w").agg(F.sum("n").alias("n"))
+    words = materialise(words, "words")
+    n = words.where("what = 'texts'").agg(F.sum("n")).first()[0] or 0
+    # a row per word of the vocabulary, without those that count for nothing
+    some = words.where((F.col("what") != "word") | (F.col("n") >= 3) | (F.col("n") > 0.01 * n)).toArrow()
+    model = _vocabulary(zip(*(c.to_pylist() for c in some.columns)))
+    drop(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts, spans = [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = model.spans(t) if t and t.strip() else []
+                if found or keep_text:
+                    ids.append(i)
+                    texts.append(t if keep_text else None)
+                    spans.append(json.dumps([(s.kind, s.start, s.end, s.label, s.x, _first(t, s)) for s in found], separators=(",", ":")))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, pa.string())], names=["id", "text", "spans"])
+
+    found = materialise(df.select(F.col(id_col).cast("long"), text).mapInArrow(run, "id long, text string, spans string"), "spans")
+    told = found.select("spans").mapInArrow(_told, "kind string, y int, x array<double>, n long").groupBy("kind", "y", "x").agg(F.sum("n").alias("n")).toArrow()
+    _forests(model, zip(*(c.to_pylist() for c in told.select(["kind", "y", "x", "n"]).columns)))
+    return model, found
 
 
 def _first(text: str, s: Span) -> int:
@@ -351,33 +448,33 @@ def _first(text: str, s: Span) -> int:
     return next((i for i in range(s.start, s.end) if text[i].isalnum()), s.start)
 
 
-def find_mentions(df: DataFrame, id_col: str, text: str, sample: int = SAMPLE) -> DataFrame:
+def find_mentions(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, pii_type, start_char, end_char), one row per mention, positions from 0 in characters.
 
-    Null and blank texts have none.  Texts are scanned whole, whatever their length, and
-    nothing is shuffled.  Extra columns are not read.
+    Null and blank texts have none.  Texts are scanned whole, whatever their length; only
+    counts of words and of examples are shuffled.  Extra columns are not read.
     """
-    model = fit(sample_texts(df, id_col, text, sample))
+    model, spans = fitted(df, id_col, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                rows = [(i, s.kind, _first(t, s), s.end) for i, t, found in zip(ids, texts, model.mentions(texts)) for s in found]
+                chosen = model.selected([_read(s) for s in part.column(1).to_pylist()])
+                rows = [(i, s.kind, s.first, s.end) for i, found in zip(part.column(0).to_pylist(), chosen) for s in found]
                 c = list(zip(*rows)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64())], names=["id", "pii_type", "start_char", "end_char"])
 
-    return df.select(F.col(id_col).cast("long"), text).mapInArrow(run, "id long, pii_type string, start_char long, end_char long")
+    return spans.select("id", "spans").mapInArrow(run, "id long, pii_type string, start_char long, end_char long")
 
 
-def redact(df: DataFrame, id_col: str, text: str, placeholders: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def redact(df: DataFrame, id_col: str, text: str, placeholders: DataFrame) -> DataFrame:
     """(id, text, mentions): the text with each mention replaced by its type's placeholder.
 
     ``placeholders``: (pii_type, placeholder), a row per type.  Types without one stay as
     they are; null texts stay null; everything else in a text is unchanged.
     """
-    model = fit(sample_texts(df, id_col, text, sample))
+    model, spans = fitted(df, id_col, text, True)
     mark = {r.pii_type: r.placeholder for r in placeholders.where(F.col("pii_type").isin(TYPES)).groupBy("pii_type").agg(F.min("placeholder").alias("placeholder")).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,13 +482,12 @@ def redact(df: DataFrame, id_col: str, text: str, placeholders: DataFrame, sampl
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 out, count = [], []
-                texts = part.column(1).to_pylist()
-                for t, found in zip(texts, model.mentions(texts)):
+                for t, found in zip(part.column(1).to_pylist(), model.selected([_read(s) for s in part.column(2).to_pylist()])):
                     found = [s for s in found if mark.get(s.kind)]
                     for s in reversed(found):
-                        t = t[: _first(t, s)] + mark[s.kind] + t[s.end :]
+                        t = t[: s.first] + mark[s.kind] + t[s.end :]
                     out.append(t)
                     count.append(len(found))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string()), pa.array(count, pa.int32())], names=["id", "text", "mentions"])
 
-    return df.select(F.col(id_col).cast("long"), text).mapInArrow(run, "id long, text string, mentions int")
+    return spans.mapInArrow(run, "id long, text string, mentions int")

@@ -385,3 +385,26 @@ def test_case_that_changes_late():
     text = "lower case only here. " * 40 + "Then Kavita Sharma came"
     assert all(s.x[6] == 0.0 for s in m.spans(text) if s.kind == "name")
     assert [s.kind for s in m.spans("45, MG Road, Pune 411001")][:1] == ["address"]
+
+
+def test_pii_is_fitted_on_all_texts(spark):
+    spark_rows = spark.range(4600).select("id", (F.abs(F.xxhash64("id", F.lit(9)) / F.lit(2.0**63)) > 0.9).alias("far"))
+    rows, far = [], 0
+    for r in spark_rows.orderBy("id").collect():
+        far += r.far  # a city told by its pin in the texts a sample of 4,000 would leave out
+        pin = ", Zorgarh 411001" if r.far and far < 4 else ""
+        rows.append((r.id, f"House No. {r.id % 90 + 1}, Lake Road{pin} and call me on 98{r.id % 97:02d}0{r.id:05d} or note order {r.id:08d}. My name is Ravi Kumar."))
+    rows += [(4600, "Please come to House No. 7, Lake Road, Zorgarh"), (4601, None), (4602, " ")]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(5)
+    got = sorted(map(tuple, pii.find_mentions(df, "id", "t").where("id >= 4500").collect()))
+    m = pii.fit([t for _, t in rows])
+    late = rows[4500:]
+    assert got == sorted((i, s.kind, pii._first(t, s), s.end) for (i, t), f in zip(late, m.mentions([t for _, t in late])) for s in f)
+    assert max(e for i, k, _, e in got if i == 4600 and k == "address") == len(rows[4600][1])
+
+
+def test_boosting_of_repeated_rows():
+    rng = np.random.default_rng(4)
+    x, n = rng.random(50), rng.integers(0, 6, 50)
+    q = np.linspace(0, 1, 25)[1:-1]
+    assert np.allclose(boosting._quantiles(x, n, q), np.quantile(np.repeat(x, n), q))
