@@ -408,3 +408,26 @@ def test_boosting_of_repeated_rows():
     x, n = rng.random(50), rng.integers(0, 6, 50)
     q = np.linspace(0, 1, 25)[1:-1]
     assert np.allclose(boosting._quantiles(x, n, q), np.quantile(np.repeat(x, n), q))
+
+
+def test_defects_are_fitted_on_all_pairs(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/raw_records.parquet").select("seq", "english", "hinglish")
+    df = df.unionAll(df.select(F.col("seq") + 10**6, "english", "hinglish").where("seq % 3 = 0"))  # more rows than a sample of 6,000
+    rows = df.orderBy("seq").collect()
+    m = pair_defects.fit([(r.english, r.hinglish) for r in rows])
+    got = sorted(map(tuple, pair_defects.defects(df.repartition(5), "english", "hinglish", "seq").collect()))
+    some = [r for r in rows if r.seq % 8 == 0]
+    assert [g for g in got if g[0] % 8 == 0] == sorted((r.seq, v) for r in some if (v := m.label(r.english, r.hinglish)))
+    assert m.copied_rare == pytest.approx(sum(_both(rows, 4, True)) / sum(_both(rows, 4, False)))
+
+
+def _both(rows, most, out):
+    n_in, n_out = Counter(), Counter()
+    into = {g: Counter() for g in pair_defects._GROUPS}
+    for r in rows:
+        if pair_defects._tally(r.english, r.hinglish, pair_defects._early(r.hinglish), into):
+            p, a = set(pair_defects.words(r.english)), set(pair_defects.words(r.hinglish))
+            for x, y in ((p, a), (a, p)):
+                n_in.update(x)
+                n_out.update(x & y)
+    return [(n_out if out else n_in)[w] for w in n_in if n_in[w] <= most]
