@@ -164,6 +164,21 @@ def test_realisations():
     assert not list(codemix.mixed(["s"] * 13, ["t"] * 13, down)) and len(list(codemix.mixed(["s"] * 12, ["t"] * 12, down[1:]))) == 2**12 - 2
 
 
+def test_realisations_are_built_by_doubling():
+    rng = random.Random(8)
+    for _ in range(200):
+        e, h = [f"s{i}" for i in range(rng.randrange(12))], [f"t{i}" for i in range(rng.randrange(14))]
+        blocks = codemix.spans(len(e), [rng.randrange(len(e) + 1) for _ in h])
+        want = []
+        for mask in range(1, 2 ** len(blocks) - 1) if 2 <= len(blocks) <= 12 else ():
+            side = [mask >> k & 1 for k in range(len(blocks))]
+            words = [w for on, (a, b) in zip(side, blocks) for w in ([e[i] for i in a] if on else [h[j] for j in b])]
+            turns = sum(x != y for x, y in zip(side, side[1:]))
+            if words:
+                want.append((mask, " ".join(words), turns, turns / (len(words) - 1) if len(words) > 1 else 0.0))
+        assert list(zip(*codemix._mixed(blocks, e, h, 12))) == want
+
+
 def test_metrics(spark):
     a, b = "wo nahi aaya".split(), "wo nahin aaya".split()
     assert metrics.edit_distance(a, b) == 1 and metrics.lcs(a, b) == 2
