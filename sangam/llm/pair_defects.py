@@ -4,7 +4,8 @@ Copies are found by compressing the response with its prompt as a zstandard dict
 refusals and languages by dictionaries, the latter widened by word statistics; truncation
 by a terminal-context model.  Both statistical parts are fitted on all pairs themselves:
 words and contexts are counted where the pairs lie, and the features of every pair are
-written once, read for each step of the fit, and read again for the labels.
+written once, read for each step of the fit, and read again for the labels.  Texts are cut
+into words many at a time, by their bytes, and Python meets each distinct word of them once.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +74,8 @@ FOREIGN = frozenset(
 ) - HINGLISH - ENGLISH
 
 _MAYBE = re.compile(_TASK.pattern + r"|\b(?:ai|assistant|language model|bot|chatbot|against|violates?|breach|breaches|outside|beyond|mer[ei])\b")
+# One word of each of these; a text with no such word is no refusal.
+_MAYBE_WORD = re.compile(_TASK.pattern + r"|\b(?:ai|assistant|language|bot|chatbot|against|violates?|breach|breaches|outside|beyond|mer[ei])\b")
 _NOT_BARE = re.compile(r"[\W_]+")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _LATIN = re.compile(r"[a-zA-Z\u00aa-\u024f\u1e00-\u1eff]")
@@ -79,6 +83,10 @@ _WORDS = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 # The same for lower-case ASCII texts, several times as fast.
 _ASCII_WORDS = re.compile(r"[a-z0-9]+(?:['-][a-z0-9]+)*")
 _ASCII_NOT_BARE = {i: None for i in range(128) if not chr(i).isalnum()}
+# Bytes of prepared texts: 1 within words, 2 what may join two of them, 3 what closes a clause, 0 others.
+_KINDS = bytes(1 if x > 127 or chr(x).isalnum() else 2 if x in b"'-" else 3 if x in b".!?;" else 0 for x in range(256))
+_APART = bytes(x for x in range(256) if _KINDS[x] != 1)
+_LONGEST = max(map(len, NO_VALUE))
 _ENDS = frozenset(".!?।;:|,)")
 _CLOSE = frozenset(".!?।;")
 DEFECTS = ["empty", "refusal", "copy", "other_language", "truncated"]
@@ -190,29 +198,31 @@ class Model:
         self.logit = {way: (np.concatenate(([-9.0], np.zeros(11))), np.zeros(11), np.ones(11)) for way in ("hinglish", "english")}
 
     # -- language
-    def language(self, answer: str, found: list[str], prompt: set[str]) -> str:
-        """'hinglish', 'english', 'other' or '' where too little can be told."""
-        if latin_share(answer) < 0.5:
-            return "other"
-        w = [x for x in found if x not in prompt and x.isalpha()]
-        if len(w) < 3:
-            return ""
-        hi = en = 0.0
-        for h, e in map(self.scores.__getitem__, w):
-            hi, en = hi + h, en + e
-        known = sum(map(_FUNCTION.__contains__, w))
-        if max(hi, en) < 0 or (known == 0 and max(hi, en) < 0.3 * len(w)):
-            return "other"
-        return "hinglish" if hi >= en else "english"
+    def languages(self, t: "_Texts", answers: np.ndarray, prompts: np.ndarray) -> np.ndarray:
+        """'hinglish', 'english', 'other' or '' where too little can be told, of texts by their places, each by the words its prompt has not."""
+        n = len(answers)
+        (code, row), (asked, of) = t.words(answers), t.words(prompts)
+        size = len(t.own) + 1
+        on = t.known("alpha", str.isalpha, bool)[code] & ~_among(row * size + code, np.sort(of * size + asked))
+        code, row = code[on], row[on]
+        count = np.bincount(row, minlength=n)
+        scores = t.known("scores", self.scores.__getitem__, np.dtype((float, 2)))
+        hi, en = (np.bincount(row, scores[code, k], n) for k in (0, 1))
+        known = np.bincount(row, t.known("function", _FUNCTION.__contains__, bool)[code], n)
+        most = np.maximum(hi, en)
+        foreign = (most < 0) | ((known == 0) & (most < 0.3 * count))
+        other = np.array([latin_share(t.texts[i]) < 0.5 for i in answers.tolist()], bool)
+        return np.where(other, "other", np.where(count < 3, "", np.where(foreign, "other", np.where(hi >= en, "hinglish", "english"))))
 
     # -- truncation
-    def contexts(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """At each word of some texts: its place, and 55-bit marks of the word, of the last two, and of the last four with rare ones masked."""
-        code, own = _coded([w for t in texts for w in t])
-        word = np.array([_mark(w) for w in own], np.uint64)
-        mask = np.array([_mark(w if w in self.seen else "0" if any(c.isdigit() for c in w) else "#") for w in own], np.uint64)
-        at = np.concatenate([np.arange(len(t)) for t in texts]) if texts else np.zeros(0, np.int64)
-        word, mask = (word[code], mask[code]) if len(own) else (np.zeros(0, np.uint64),) * 2
+    def masked(self, w: str) -> int:
+        """Mark of a word, one for all rare words and one for all rare ones with a digit."""
+        return _mark(w if w in self.seen else "#" if w.isalpha() or not any(map(str.isdigit, w)) else "0")
+
+    def contexts(self, t: "_Texts", code: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """At each word of some texts, given by their words and lengths: its place, and 55-bit marks of the word, of the last two, and of the last four with rare ones masked."""
+        at = np.arange(len(code)) - np.repeat(np.cumsum(lens) - lens, lens)
+        word, mask = t.known("mark", _mark, np.uint64)[code], t.known("mask", self.masked, np.uint64)[code]
         two = mix64(word + np.uint64(3) * np.roll(word, 1) + np.uint64(2))
         four = np.full(len(at), 4, np.uint64)
         for k in (3, 2, 1, 0):
@@ -227,17 +237,14 @@ class Model:
         i = np.minimum(np.searchsorted(keys, marks), len(keys) - 1)
         return np.where(keys[i] == marks, odds[i], other)
 
-    def features(self, ps: list[list[str]], as_: list[list[str]], answers: list[str]) -> np.ndarray:
-        """A row per pair, of the words of prompt and answer and the answer."""
-        n = len(ps)
-        code, own = _coded([w for t in (*ps, *as_) for w in t])
-        lens_p, lens_a = (np.array([len(t) for t in x], np.int64) for x in (ps, as_))
-        row_p, row_a = np.repeat(np.arange(n), lens_p), np.repeat(np.arange(n), lens_a)
-        code_p, code_a = code[: len(row_p)], code[len(row_p) :]
-        size = len(own) + 1
+    def features(self, t: "_Texts", prompts: np.ndarray, answers: np.ndarray) -> np.ndarray:
+        """A row per pair, of prompts and answers by their places."""
+        n = len(prompts)
+        lens_p, lens_a = t.lens[prompts], t.lens[answers]
+        (code_p, row_p), (code_a, row_a) = t.words(prompts), t.words(answers)
+        size = len(t.own) + 1
         have = np.sort(row_a * size + code_a)
-        good = np.array([self.copied.get(x, self.copied_rare) >= 0.8 for x in own], bool)
-        some = good[code_p] if len(own) else np.zeros(0, bool)
+        some = t.known("copied", lambda w: self.copied.get(w, self.copied_rare) >= 0.8, bool)[code_p]
         row, hit = row_p[some], _among(row_p[some] * size + code_p[some], have)
         hits, right = np.bincount(row, minlength=n), np.bincount(row, hit, n)
         at = np.arange(len(row)) - (np.cumsum(hits) - hits)[row]
@@ -254,10 +261,10 @@ class Model:
             x[:, 1] = np.where(third > 0, 1 - (right - late) / third, 0.1)
         x[:, 2] = np.minimum(hits - 1 - last, 6)
         x[:, 3] = np.minimum(lens_a / np.maximum(lens_p, 1), 2.0)
-        tails = [t[-4:] for t in as_]
-        places, *marks = self.contexts(tails)
+        tails = np.minimum(lens_a, 4)
+        places, *marks = self.contexts(t, code_a[np.repeat(ends, lens_a) - np.arange(len(code_a)) <= 4], tails)
         x[:, 4:7] = self.base
-        ends = np.cumsum([len(t) for t in tails], dtype=np.int64)
+        ends = np.cumsum(tails)
         some = np.flatnonzero(lens_a)
         if len(some):
             z = ends[some] - 1
@@ -267,8 +274,8 @@ class Model:
             x[some, 5] = e2 = np.where(places[z] > 0, self.closing(marks[1][z], e1), e1)
             x[some, 6] = self.closing(marks[2][z], e2)
         x[:, 9] = right == hits
-        for i, answer in enumerate(answers):
-            end = answer.rstrip(" \t\r\n\"'”’»)*_~`]}:☺")
+        for i, k in enumerate(answers.tolist()):
+            end = t.texts[k].rstrip(" \t\r\n\"'”’»)*_~`]}:☺")
             if end:
                 x[i, 7] = end[-1] in ".!?।" and not end.endswith(("..", "…"))
                 x[i, 10] = end[-1] in "-–—(,/\"“‘«[{<" or end.endswith(("…", " .."))
@@ -281,23 +288,23 @@ class Model:
 
     def label(self, prompt: str | None, answer: str | None) -> str | None:
         """The first defect that applies, or None."""
-        first, way, pw, aw = self.before(prompt, answer, _early(answer))
+        t, at = _Texts([prompt or "", answer or ""]), np.arange(1)
+        [first], [way] = self.before(t, at, at + 1, [_early(answer)])
         if first or not way:
             return first
-        return "truncated" if self.truncation(self.features([pw], [aw], [answer]), way)[0] >= CUT else None
-
-    def before(self, prompt: str | None, answer: str | None, early: str | None) -> tuple[str | None, str, list[str], list[str]]:
-        """(the first defect but truncation, else the answer's language, the words of both)."""
-        if early:
-            return early, "", [], []
-        prompt = prompt or ""
-        if is_copy(bare(prompt), bare(answer)):
-            return "copy", "", [], []
-        pw, aw = words(prompt), words(answer)
-        lang = self.language(answer, aw, set(pw))
-        if lang == "other" or (lang == "english" and self.language(prompt, pw, set(aw)) == "english"):
-            return "other_language", "", [], []
-        return None, lang or "hinglish", pw, aw
+        return "truncated" if self.truncation(self.features(t, at, at + 1), way)[0] >= CUT else None
+
+    def before(self, t: "_Texts", prompts: np.ndarray, answers: np.ndarray, early: list[str | None]) -> tuple[list[str | None], list[str]]:
+        """(the first defects but truncation, else the answers' languages) of prompts and answers by their places."""
+        first = list(early)
+        for i, (p, a) in enumerate(zip(prompts.tolist(), answers.tolist())):
+            if not first[i] and is_copy(t.bare(p), t.bare(a)):
+                first[i] = "copy"
+        lang = self.languages(t, answers, prompts)
+        asked = np.flatnonzero(lang == "english")
+        lang[asked[self.languages(t, prompts[asked], answers[asked]) == "english"]] = "other"
+        way = ["" if f else v or "hinglish" for f, v in zip(first, lang.tolist())]
+        return ["other_language" if v == "other" else f for f, v in zip(first, way)], ["" if v == "other" else v for v in way]
 
 
 def _early(answer: str | None) -> str | None:
@@ -312,6 +319,8 @@ _JOIN = frozenset("lekin isliye phir aur aor or but so then and".split())
 
 _GROUPS = ("hi", "en", "other", "n_in", "n_out")  # answers by language, prompts in English; words of sound pairs, and those on both sides
 FLUSH = 400_000  # words counted before the counts are handed on
+CHUNK = 8_000  # pairs cut into words together, at most
+BYTES = 16_000_000  # and the bytes of their texts, unless one pair alone has more
 KEYS = 4_000_000  # contexts counted before the counts are handed on
 SLICE = 2_000  # pairs whose features are made together
 WAYS = ("hinglish", "english")
@@ -330,12 +339,76 @@ class _Marks(dict):
 _mark = _Marks().__getitem__
 
 
-def _coded(flat: list[str]) -> tuple[np.ndarray, list[str]]:
-    """(places in the list of distinct words, that list)."""
-    own = dict.fromkeys(flat)
-    for i, w in enumerate(own):
-        own[w] = i
-    return np.fromiter(map(own.__getitem__, flat), np.int64, len(flat)), list(own)
+class _Maybes(dict):
+    """Whether a word may stand in a refusal, emptied when it holds very many."""
+
+    def __missing__(self, w: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        v = self[w] = bool(_MAYBE_WORD.search(w))
+        return v
+
+
+_maybe = _Maybes().__getitem__
+
+
+def _prepared(text: str) -> str:
+    """The text in lower case; of one that is not ASCII its words, apart by a blank or, where a clause closes, a full stop."""
+    text = text.lower()
+    if text.isascii():
+        return text
+    return "".join(w + (". " if _closes(gap) else " ") for w, gap in zip(_WORDS.findall(text), _WORDS.split(text)[1:]))
+
+
+class _Texts:
+    """Texts cut into words as :func:`words` does, all at once: places of their words in the list of distinct ones."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        ready = [_prepared(x) for x in texts]
+        self.ascii = [x.isascii() for x in ready]
+        sizes = np.array([len(x) if plain else len(x.encode("utf-8", "surrogatepass")) for x, plain in zip(ready, self.ascii)], np.int64)
+        raw = ("\n".join(ready) + "\n").encode("utf-8", "surrogatepass")
+        kinds = np.frombuffer(raw.translate(_KINDS), np.uint8)
+        part = kinds == 1
+        binds = np.flatnonzero(kinds == 2)
+        binds = binds[part[binds - 1] & part[binds + 1]]
+        part[binds] = True
+        edges = np.flatnonzero(np.diff(part, prepend=False))
+        starts, ends = edges[::2], edges[1::2]
+        after = np.cumsum(sizes + 1)
+        self.last = np.searchsorted(starts, after)  # where each text's words end
+        self.lens = np.diff(self.last, prepend=0)
+        offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(ends - starts)))
+        self.letters = raw.translate(None, _APART).decode("latin-1")
+        self.bare_to = offsets[self.last] - np.searchsorted(binds, after)  # where each text's letters and digits end
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.frombuffer(raw, np.uint8)[part])]).dictionary_encode()
+        self.code = coded.indices.to_numpy().astype(np.int64)
+        self.own = [w.decode("utf-8", "surrogatepass") for w in coded.dictionary.to_pylist()]
+        self.closes = np.zeros(len(starts) + 1, bool)  # whether what stands after a word closes a clause; the last is no word's
+        self.closes[np.searchsorted(starts, np.flatnonzero(kinds == 3)) - 1] = True
+        self.closes[self.last[self.lens > 0] - 1] = True
+        self._known: dict[str, np.ndarray] = {}
+
+    def words(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, for each the index in ``some``) of some texts by their places."""
+        lens = self.lens[some]
+        row = np.repeat(np.arange(len(some)), lens)
+        return self.code[np.arange(len(row)) + (self.last[some] - np.cumsum(lens))[row]], row
+
+    def known(self, name: str, of: Callable, kind: np.dtype | type) -> np.ndarray:
+        """What ``of`` says of each distinct word, asked once under a name."""
+        if name not in self._known:
+            self._known[name] = np.fromiter(map(of, self.own), kind, len(self.own))
+        return self._known[name]
+
+    def bare_size(self, i: int) -> int:
+        return int(self.bare_to[i] - (self.bare_to[i - 1] if i else 0))
+
+    def bare(self, i: int) -> str:
+        if not self.ascii[i]:
+            return bare(self.texts[i])
+        return self.letters[self.bare_to[i] - self.bare_size(i) : self.bare_to[i]]
 
 
 def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -344,6 +417,12 @@ def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order."""
+    x = np.sort(x)
+    return x[np.diff(x, prepend=~x[:1]) != 0]
+
+
 def _squeezed(*arrays: np.ndarray) -> bytes:
     """Flat arrays in one compressed string, by their bytes' place."""
     head = json.dumps([(a.dtype.str, a.size) for a in arrays]).encode()
@@ -362,31 +441,53 @@ def _loosened(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _earlies(t: _Texts, answers: np.ndarray) -> list[str | None]:
+    """The defects of :func:`_early` of texts by their places."""
+    code, row = t.words(answers)
+    maybe = np.bincount(row, t.known("maybe", _maybe, bool)[code], len(answers)) > 0
+
+    def one(i: int, maybe: bool) -> str | None:
+        if t.ascii[i]:
+            b = t.bare(i) if t.bare_size(i) <= _LONGEST else None
+            empty = b == "" or b in NO_VALUE
+        else:
+            empty = is_empty(t.texts[i])
+        return "empty" if empty else "refusal" if maybe and is_refusal(t.texts[i]) else None
+
+    return [one(i, x) for i, x in zip(answers.tolist(), maybe.tolist())]
+
+
+def _tallies(t: _Texts, prompts: np.ndarray, answers: np.ndarray, early: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each pair is sound, counts of the distinct words, a row for each of _GROUPS)."""
+    n, size = len(prompts), len(t.own) + 1
+    pairs = list(zip(prompts.tolist(), answers.tolist()))
+    on = np.array([bool(not e and t.texts[p] and latin_share(t.texts[a]) >= 0.5) for e, (p, a) in zip(early, pairs)], bool) & (t.lens[answers] > 0)
+    (pw, row_p), (w, row_a) = t.words(prompts), t.words(answers)
+    is_hi, is_en = t.known("hinglish", HINGLISH.__contains__, bool), t.known("english", ENGLISH.__contains__, bool)
+    long = np.maximum(t.lens[answers], 1)
+    hi, en = (np.bincount(row_a, d[w], n) / long for d in (is_hi, is_en))
+    hinglish = on & (hi >= 0.15) & (hi > en)
+    other = on & ~hinglish & (en < 0.15) & (hi < 0.1) & (long >= 6)
+    english = on & (np.bincount(row_p, is_en[pw], n) > 0.15 * t.lens[prompts])
+    sound = hinglish.copy()
+    for i in np.flatnonzero(hinglish).tolist():
+        p, a = pairs[i]
+        sound[i] = (t.ascii[p] and t.ascii[a] and t.bare_size(p) != t.bare_size(a)) or t.bare(p) != t.bare(a)
+    asked, have = (_distinct((row * size + code)[on[row]]) for row, code in ((row_p, pw), (row_a, w)))
+    both = _among(have, asked), _among(asked, have)
+    (of_a, a), (of_p, p) = np.divmod(have, size), np.divmod(asked, size)
+    count = lambda x: np.bincount(x, minlength=size - 1)
+    told = count(a[sound[of_a]]) + count(p[sound[of_p]])
+    return sound, np.array([count(a[hinglish[of_a] & ~both[0]]), count(p[english[of_p] & ~both[1]]), count(a[other[of_a] & ~both[0]]), told, 2 * count(a[sound[of_a] & both[0]])])
+
+
 def _tally(p: str | None, a: str | None, early: str | None, into: dict[str, Counter]) -> bool:
     """Counts the words of one pair and tells whether it is sound."""
-    if early or not p or latin_share(a) < 0.5:
-        return False
-    w = words(a)
-    if not w:
-        return False
-    pw = words(p)
-    have, asked = set(w), set(pw)
-    hi, en = (sum(map(d.__contains__, w)) / len(w) for d in (HINGLISH, ENGLISH))
-    sound = False
-    if hi >= 0.15 and hi > en:
-        into["hi"].update(have - asked)
-        sound = bare(p) != bare(a)
-    elif en < 0.15 and hi < 0.1 and len(w) >= 6:
-        into["other"].update(have - asked)
-    if sum(map(ENGLISH.__contains__, pw)) > 0.15 * len(pw):
-        into["en"].update(asked - have)
-    if sound:
-        both = have & asked
-        into["n_in"].update(asked)
-        into["n_in"].update(have)
-        into["n_out"].update(both)
-        into["n_out"].update(both)
-    return sound
+    t, at = _Texts([p or "", a or ""]), np.arange(1)
+    sound, counts = _tallies(t, at, at + 1, [early])
+    for g, c in zip(_GROUPS, counts.tolist()):
+        into[g].update({w: k for w, k in zip(t.own, c) if k})
+    return bool(sound[0])
 
 
 def _lexicon(rows: Iterable[tuple], totals: tuple[float, ...]) -> Model:
@@ -426,21 +527,13 @@ _closes = _Closes().__getitem__
 
 def _context_keys(m: Model, texts: list[str]) -> np.ndarray:
     """Marks of the contexts at all words of the texts, each with a last bit: whether a clause closes there."""
-    found, closes = [], []
-    for t in texts:
-        t = t.lower()
-        pattern = _ASCII_WORDS if t.isascii() else _WORDS
-        w = pattern.findall(t)
-        if w:
-            found.append(w)
-            closes += map(_closes, pattern.split(t)[1:])
-            closes[-1] = True
-    at, one, two, four = m.contexts(found)
-    joins = np.array([j for w in found for j in map(_JOIN.__contains__, w)], bool)
-    c = np.array(closes, bool)
+    t = _Texts(texts)
+    at, one, two, four = m.contexts(t, t.code, t.lens)
+    joins = t.known("joins", _JOIN.__contains__, bool)[t.code]
+    c = t.closes[:-1]
     c[:-1] |= joins[1:] & (at[1:] > 0)
     keys = [one, two[at > 0], four]
-    return np.concatenate([k << np.uint64(1) | b.astype(np.uint64) for k, b in zip(keys, (c, c[at > 0], c))]) if len(at) else one
+    return np.concatenate([k << np.uint64(1) | b.astype(np.uint64) for k, b in zip(keys, (c, c[at > 0], c))])
 
 
 def _merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -484,16 +577,21 @@ def _cut(p: str, a: str, seed: int = 5) -> str:
     return cut
 
 
-def _lessons(m: Model, sound: list[tuple[str, str, list[str], list[str]]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features, 1 for made cuts) by way, of sound pairs (prompt, answer, words of both)."""
-    out = []
-    for way in WAYS:
-        rows = sound if way == "hinglish" else [(a, p, aw, pw) for p, a, pw, aw in sound]
-        cuts = [(p, c, pw, words(c)) for p, a, pw, _ in rows if (c := _cut(p, a))]
-        both = [*rows, *cuts]
-        y = np.zeros(len(both))
-        y[len(rows) :] = 1.0
-        out.append((m.features([r[2] for r in both], [r[3] for r in both], [r[1] for r in both]), y))
+def _taught(pairs: list[tuple[str, str]], sound: Iterable[bool]) -> _Texts:
+    """Prompts, answers, cuts of the answers and of the prompts, in this order; cuts of sound pairs only."""
+    ps, as_ = ([r[k] for r in pairs] for k in (0, 1))
+    return _Texts([*ps, *as_, *(_cut(p, a) if s else "" for p, a, s in zip(ps, as_, sound)), *(_cut(a, p) if s else "" for p, a, s in zip(ps, as_, sound))])
+
+
+def _lessons(m: Model, t: _Texts, sound: np.ndarray, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, 1 for made cuts) by way, of sound pairs by their places, with their features, and their texts by :func:`_taught`."""
+    n, out = len(t.texts) // 4, []
+    for p, a, cut in ((sound, sound + n, sound + 2 * n), (sound + n, sound, sound + 3 * n)):
+        rows = x if p is sound else m.features(t, p, a)
+        made = np.array([bool(t.texts[i]) for i in cut.tolist()], bool)
+        y = np.zeros(len(sound) + int(made.sum()))
+        y[len(sound) :] = 1.0
+        out.append((np.concatenate((rows, m.features(t, p[made], cut[made]))), y))
     return out
 
 
@@ -540,45 +638,68 @@ def _step(x: np.ndarray, y: np.ndarray, now: tuple, first: np.ndarray | None) ->
 
 def fit(pairs: list[tuple[str | None, str | None]]) -> Model:
     """Fit on pairs in memory; :func:`defects` does the same on a table.  Truncated examples are made by cutting sound answers."""
-    into = {g: Counter() for g in _GROUPS}
-    sound = [(p, a) for p, a in pairs if _tally(p, a, _early(a), into)]
-    rows = [(w, *(into[g][w] for g in _GROUPS)) for w in set().union(*into.values())]
-    m = _lexicon(rows, [*(sum(into[g].values()) for g in _GROUPS[:3]), *(sum(r[i] for r in rows if r[4] <= 4) for i in (4, 5))])
-    keys = _context_keys(m, [t for pair in sound for t in pair])
+    pairs = [(p or "", a or "") for p, a in pairs]
+    t, at = _Texts([x for r in pairs for x in r]), np.arange(len(pairs)) * 2
+    on, counts = _tallies(t, at, at + 1, _earlies(t, at + 1))
+    sound = [r for r, s in zip(pairs, on) if s]
+    rows = [(w, *c) for w, c in zip(t.own, counts.T.tolist()) if any(c)]
+    m = _lexicon(rows, [*counts[:3].sum(1).tolist(), *(sum(r[i] for r in rows if r[4] <= 4) for i in (4, 5))])
+    keys = _context_keys(m, [x for pair in sound for x in pair])
     _close(m, [_often(*np.unique(keys, return_counts=True))])
-    parts = [_lessons(m, [(p, a, words(p), words(a)) for p, a in sound])]
+    t, at = _taught(sound, [True] * len(sound)), np.arange(len(sound))
+    parts = [_lessons(m, t, at, m.features(t, at, at + len(sound)))]
     _fit_logits(m, lambda f: [f(part) for part in parts])
     return m
 
 
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in pieces of up to CHUNK rows and BYTES bytes of strings, or of one row."""
+    for b in batches:
+        sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type))
+        to, lo = np.cumsum(sizes), 0
+        while lo < b.num_rows:
+            hi = int(np.searchsorted(to, (to[lo - 1] if lo else 0) + BYTES, "right"))
+            hi = min(max(hi, lo + 1), lo + CHUNK, b.num_rows)
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 _PAIR = "id long, p string, a string, early string, sound boolean"
 _WORD = "w string, " + ", ".join(f"{g} long" for g in _GROUPS)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (id, prompt, answer) with the defects that ask for no prompt, and, as rows of their own, counts of words."""
-    into = {g: Counter() for g in _GROUPS}
     names = ["id", "p", "a", "early", "sound", "w", *_GROUPS]
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), *[pa.int64()] * 5]
+    met: list[pa.Table] = []
 
-    def out(n: int, **columns: list) -> pa.RecordBatch:
+    def out(n: int, **columns: list | pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types)], names=names)
 
-    def counts() -> pa.RecordBatch:
-        w = list(set().union(*into.values()))
-        r = out(len(w), w=w, **{g: [into[g][x] for x in w] for g in _GROUPS})
-        for c in into.values():
-            c.clear()
-        return r
+    def merged() -> pa.Table:
+        t = pa.concat_tables(met).group_by("w").aggregate([(g, "sum") for g in _GROUPS])
+        met.clear()
+        return t.select(["w", *(f"{g}_sum" for g in _GROUPS)]).rename_columns(["w", *_GROUPS]).combine_chunks()
 
-    for b in batches:
+    def counts(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in t.to_batches():
+            yield out(b.num_rows, **dict(zip(t.column_names, b.columns)))
+
+    for b in _chunks(batches):
         i, p, a = (c.to_pylist() for c in b.columns)
-        early = [_early(x) for x in a]
-        yield out(len(i), id=i, p=p, a=a, early=early, sound=[_tally(*r, into) for r in zip(p, a, early)])
-        if sum(map(len, into.values())) > FLUSH:
-            yield counts()
-    if any(into.values()):
-        yield counts()
+        t, at = _Texts([x or "" for x in (*p, *a)]), np.arange(len(i))
+        early = _earlies(t, at + len(i))
+        sound, n = _tallies(t, at, at + len(i), early)
+        yield out(len(i), id=i, p=p, a=a, early=early, sound=sound.tolist())
+        some = n.any(0)
+        met.append(pa.table([pa.array([w for w, k in zip(t.own, some.tolist()) if k], pa.string()), *n[:, some]], names=["w", *_GROUPS]))
+        if sum(map(len, met)) > FLUSH:
+            met.append(merged())
+            if len(met[0]) > FLUSH // 2:
+                yield from counts(merged())
+    if met:
+        yield from counts(merged())
 
 
 def defects(df: DataFrame, prompt: str, answer: str, id_col: str) -> DataFrame:
@@ -610,14 +731,13 @@ def defects(df: DataFrame, prompt: str, answer: str, id_col: str) -> DataFrame:
             runs.clear()
             return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(parts, pa.binary())], names=["part", "keys"])
 
-        for b in batches:
-            for at in range(0, b.num_rows, 4 * SLICE):
-                p, a = (c.to_pylist() for c in b.slice(at, 4 * SLICE).columns)
-                runs.append(np.unique(_context_keys(model, [*p, *a]), return_counts=True))
-                if sum(len(k) for k, _ in runs) > KEYS:
-                    runs[:] = [_merged(runs)]
-                    if len(runs[0][0]) > KEYS // 2:
-                        yield out()
+        for b in _chunks(batches):
+            p, a = (c.to_pylist() for c in b.columns)
+            runs.append(np.unique(_context_keys(model, [*p, *a]), return_counts=True))
+            if sum(len(k) for k, _ in runs) > KEYS:
+                runs[:] = [_merged(runs)]
+                if len(runs[0][0]) > KEYS // 2:
+                    yield out()
         if runs:
             yield out()
 
@@ -636,16 +756,18 @@ def defects(df: DataFrame, prompt: str, answer: str, id_col: str) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs by slices: ids and labels but truncation, features of the unlabelled, lessons of the sound."""
-        for b in batches:
-            for at in range(0, b.num_rows, SLICE):
-                i, p, a, early, sound = (c.to_pylist() for c in b.slice(at, SLICE).columns)
-                rows = [model.before(*r) for r in zip(p, a, early)]
-                left = [k for k, r in enumerate(rows) if r[1]]
-                x = model.features([rows[k][2] for k in left], [rows[k][3] for k in left], [a[k] for k in left])
-                taught = [(p[k], a[k], rows[k][2] or words(p[k]), rows[k][3] or words(a[k])) for k in range(len(i)) if sound[k]]
-                lessons = [v for way in _lessons(model, taught) for v in (way[0].ravel(), way[1])]
-                labels = zstandard.ZstdCompressor(level=1).compress(json.dumps([i, [r[0] for r in rows], [r[1] for r in rows]]).encode())
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (labels, _squeezed(x.ravel()), _squeezed(*lessons))], names=["labels", "x", "lessons"])
+        for b in _chunks(batches):
+            i, p, a, early, sound = (c.to_pylist() for c in b.columns)
+            t, n = _taught([(x or "", y or "") for x, y in zip(p, a)], sound), len(i)
+            label, way = model.before(t, np.arange(n), np.arange(n) + n, early)
+            left, taught = np.array(way, object) != "", np.array(sound, bool)
+            for at in range(0, n, SLICE):
+                own = slice(at, at + SLICE)
+                some = at + np.flatnonzero(left[own] | taught[own])
+                x = model.features(t, some, some + n)
+                lessons = [v for of in _lessons(model, t, some[taught[some]], x[taught[some]]) for v in (of[0].ravel(), of[1])]
+                labels = zstandard.ZstdCompressor(level=1).compress(json.dumps([i[own], label[own], way[own]]).encode())
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (labels, _squeezed(x[left[some]].ravel()), _squeezed(*lessons))], names=["labels", "x", "lessons"])
 
     slices = materialise(pairs.mapInArrow(made, "labels binary, x binary, lessons binary"), "features")
     drop(read)

@@ -431,3 +431,74 @@ def _both(rows, most, out):
                 n_in.update(x)
                 n_out.update(x & y)
     return [(n_out if out else n_in)[w] for w in n_in if n_in[w] <= most]
+
+
+def _odd_pairs(n):
+    rng = random.Random(8)
+    stems = "main nahi kar sakta translate help the of is ghar re-work o'clock x_y n/a null ² café नहीं है। K ’ - _ . … ?".split() + VOCAB[:40]
+    texts = [None, "", " "] + [rng.choice(" _-’\n").join(rng.choices(stems, k=rng.randint(1, 25))) for _ in range(n)]
+    return [(rng.choice(texts), rng.choice(texts)) for _ in range(n)] + [(t, t) for t in texts[:20]]
+
+
+def test_texts_cut_together_are_cut_as_one_by_one():
+    texts = [x or "" for r in _odd_pairs(500) for x in r]
+    t = pair_defects._Texts(texts)
+    for i, x in enumerate(texts):
+        at = slice(t.last[i] - t.lens[i], t.last[i])
+        assert [t.own[k] for k in t.code[at]] == pair_defects.words(x) and t.bare(i) == pair_defects.bare(x)
+        pattern = pair_defects._ASCII_WORDS if x.lower().isascii() else pair_defects._WORDS
+        closes = [any(c in ".!?।;" for c in gap) for gap in pattern.split(x.lower())[1:]]
+        assert t.closes[at].tolist() == [*closes[:-1], True][: t.lens[i]]
+    assert pair_defects._earlies(t, np.arange(len(texts))) == [pair_defects._early(x) for x in texts]
+    assert not len(pair_defects._Texts([]).code) and not len(pair_defects._Texts(["", " "]).own)
+
+
+def test_pair_words_are_counted_as_pair_by_pair(monkeypatch):
+    import pyarrow as pa
+
+    P, plain, sound = pair_defects, {g: Counter() for g in pair_defects._GROUPS}, []
+    pairs = _odd_pairs(400) + [(f"the red drum of {k} is on the road", f"laal drum {k} ki sadak par hai") for k in range(60)]
+    for p, a in pairs:
+        pw, w = P.words(p or ""), P.words(a or "")
+        ok = False
+        if p and w and not P._early(a) and P.latin_share(a) >= 0.5:
+            have, asked = set(w), set(pw)
+            hi, en = (sum(x in d for x in w) / len(w) for d in (P.HINGLISH, P.ENGLISH))
+            if hi >= 0.15 and hi > en:
+                plain["hi"].update(have - asked)
+                ok = P.bare(p) != P.bare(a)
+            elif en < 0.15 and hi < 0.1 and len(w) >= 6:
+                plain["other"].update(have - asked)
+            if sum(x in P.ENGLISH for x in pw) > 0.15 * len(pw):
+                plain["en"].update(asked - have)
+            for _ in range(ok):
+                plain["n_in"].update([*asked, *have])
+                plain["n_out"].update([*(asked & have)] * 2)
+        sound.append(ok)
+    assert sum(sound) >= 60 and all(plain.values())
+    monkeypatch.setattr(P, "CHUNK", 7)
+    monkeypatch.setattr(P, "FLUSH", 90)
+    monkeypatch.setattr(P, "BYTES", 400)
+    cells = [pa.array(range(len(pairs)), pa.int64()), *(pa.array([r[k] for r in pairs], pa.string()) for k in (0, 1))]
+    got, met = {g: Counter() for g in P._GROUPS}, []
+    for b in P._read(pa.RecordBatch.from_arrays([c.slice(at, 100) for c in cells], names=["id", "p", "a"]) for at in range(0, len(pairs), 100)):
+        for r in b.to_pylist():
+            if r["w"] is None:
+                met.append((r["id"], r["p"], r["a"], r["early"], r["sound"]))
+            for g in P._GROUPS if r["w"] is not None else ():
+                got[g].update({r["w"]: r[g]} if r[g] else {})
+    assert met == [(i, p, a, P._early(a), ok) for i, ((p, a), ok) in enumerate(zip(pairs, sound))]
+    assert got == plain
+
+
+def test_no_pair_is_cut_by_a_pattern(monkeypatch):
+    """The texts of many pairs are cut into words together; once it was a pattern's run a text and step."""
+    import duckdb
+
+    rows = duckdb.connect().execute("select english, hinglish from '/root/testdata/sf0.001/raw_records.parquet' order by seq").fetchall()
+    rows = [r for r in rows if all(x and x.isascii() for x in r)]
+    m = pair_defects.fit(rows)
+    before = [m.label(*r) for r in rows]
+    monkeypatch.setattr(pair_defects, "_ASCII_WORDS", None)
+    m = pair_defects.fit(rows)
+    assert [m.label(*r) for r in rows] == before and len(rows) > 300
